@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs a reread and not a recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in a test on one
-    machine, a temporary folder stands in for it.
+    Only where that is unset, as in a test on one machine, a temporary folder stands in for it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="vellum-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor costs a reread and not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -160,14 +160,16 @@ def within(df: DataFrame, timeout_ms: float, work: Callable) -> Any:
     """The value of ``work()``; its Spark jobs are cancelled after ``timeout_ms`` (0: never)."""
     if timeout_ms <= 0:
         return work()
-    spark, tag, late = df.sparkSession, f"vellum-{uuid.uuid4().hex}", threading.Event()
+    context, group, late = df.sparkSession.sparkContext, f"vellum-{uuid.uuid4().hex}", threading.Event()
+    names = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = [context.getLocalProperty(name) for name in names]
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout_ms / 1000, stop)
-    spark.addTag(tag)
+    context.setJobGroup(group, "a query with a time limit", interruptOnCancel=True)
     timer.start()
     try:
         value = work()
@@ -177,7 +179,8 @@ def within(df: DataFrame, timeout_ms: float, work: Callable) -> Any:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        for name, old in zip(names, before, strict=True):
+            context.setLocalProperty(name, old)
     if late.is_set():
         raise QueryTimeout(f"the query took more than {timeout_ms:g} ms")
     return value

@@ -23,7 +23,7 @@ OPS = "seq long, _id string, op string, delta string"
 def since_last_delete(ops: DataFrame) -> DataFrame:
     """The writes that no later delete of their record undoes."""
     deletes = ops.where("op = 'delete'").groupBy("_id").agg(F.max("seq").alias("deleted"))
-    return ops.where("op = 'write'").join(deletes, "_id", "left").where("deleted IS NULL OR seq > deleted").drop("deleted")
+    return ops.where("op = 'write' AND _id IS NOT NULL").join(deletes, "_id", "left").where("deleted IS NULL OR seq > deleted").drop("deleted")
 
 
 def wellformed() -> Column:

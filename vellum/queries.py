@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import EDGE_SIGNS, SPACE_CLASS, STOP_WORDS, tokens
-from vellum.model import StoreSpec
-from vellum.operators import fold, index, metrics, recent, search
+from vellum.model import Identity, StoreSpec
+from vellum.operators import access, fold, index, metrics, recent, search
 from vellum.plans.builder import Q
 from vellum.plans.filters import record_id
 from vellum.sources.storage import read, scratch
@@ -440,6 +440,23 @@ def evicted_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.evicted(read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts"), "user", "ts", 10).select("_id")
 
 
+@query("""
+    WITH g AS (SELECT user_id, event_type, max(value) > 450 AS can_read FROM events GROUP BY ALL)
+    SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM g WHERE g.user_id = e.user_id AND g.event_type = e.event_type AND can_read)""")
+def permitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    grants = events.groupBy("user_id", "event_type").agg((F.max("value") > 450).alias("can_read"))
+    return access.permitted(events, grants, "can_read", "user_id", "event_type").select("event_id")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ids, 16 AS shortest, 16 AS longest FROM customer")
+def generate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = read(spark, sf_dir, "customer")
+    live = customers.select(F.col("c_custkey").cast("string").alias("_id"))
+    drawn = access.with_new_ids(customers.select("c_name"), Identity(), live, 5)
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("n_ids"), F.min(F.length("_id")).alias("shortest"), F.max(F.length("_id")).alias("longest"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------------
 
 

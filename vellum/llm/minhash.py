@@ -6,11 +6,13 @@ is the match threshold. A pair with 40 of 64 tokens in common shares one of the
 any common order of tokens; with frequent tokens last (a fixed-size count sketch gives the order) only those 25 are
 merged, and the long lists behind them are skipped and merely counted when a pair is met.
 
-A list of at most ``SMALL`` documents gives its pairs. A longer list, as large groups of copies make it, elects a leader
-and gives one pair per member. What two members could still have in common is then sought among their differences from
-the leader: members i and j with |i - j| <= D (symmetric differences, D from the similarity) are both linked to the
-leader, or share one of the first D + 1 elements of their differences. No group is held in one task and no group emits
-all its pairs. Every link is confirmed on the full shingle sets.
+A list of more than ``SMALL`` documents, as large groups of copies make it, elects a leader and gives one pair per
+member. What two members could still have in common is then sought among their differences from the leader: members i and
+j with |i - j| <= D (symmetric differences, D from the similarity) are both linked to the leader, or share one of the
+first D + 1 elements of their differences; before such a pair is made, what its two differences have in common among their
+first ``HEAD`` elements must allow a link. A shorter list gives its pairs. Pairs that links found before have joined are
+left out as they are made, so no group is held in one task and no group emits all its pairs. Every link is confirmed on
+the full shingle sets; these are built where the texts are read, for documents that a bit map of fixed size lets through.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut_lineage, text_or_empty
+from vellum.llm.common import cut_lineage, text_or_empty, written
 from vellum.llm.components import components
 from vellum.llm.shingles import digest, mix, shingle_set, words
 
@@ -35,6 +37,10 @@ PERCENT = 85
 SMALL = 16
 #: Counters of the token sketch; it only orders tokens, so collisions cost time and never a link.
 SKETCH_BITS = 20
+#: Elements of a difference that are looked at before a pair of members is made; fewer would only let more pairs through.
+HEAD = 64
+#: Bits of the map that tells which documents may need their shingle set; a set bit is confirmed by a join.
+MAP_BITS = 26
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,10 +130,14 @@ def _lists(classes: DataFrame) -> DataFrame:
     return posted.select("token", "rep").join(lists, "token")
 
 
-def _small_pairs(lists: DataFrame) -> DataFrame:
-    members = lists.where(F.col("n") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-    pairs = members.select(F.posexplode("reps").alias("at", "a"), "reps").select("a", F.explode(F.slice("reps", F.col("at") + 2, F.lit(SMALL))).alias("b"))
-    return pairs.where("a <> b").distinct()
+def _small_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs within short lists that ``comps`` (node, component) has not joined yet."""
+    known = lists.where(F.col("n") <= SMALL).join(comps, F.col("rep") == F.col("node"), "left").select("token", F.struct("rep", F.coalesce("component", "rep").alias("comp")).alias("x"))
+    members = known.groupBy("token").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    members = members.where(F.size(F.array_distinct(F.col("xs.comp"))) > 1)
+    later = F.filter("xs", lambda y: (y["rep"] > F.col("x.rep")) & (y["comp"] != F.col("x.comp")))
+    pairs = members.select("xs", F.explode("xs").alias("x")).select(F.col("x.rep").alias("a"), F.explode(later).alias("y"))
+    return pairs.select("a", F.col("y.rep").alias("b")).distinct()
 
 
 def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -160,10 +170,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
                 union = len(left) + len(right) - len(common)
                 linked.append(100 * len(common) >= PERCENT * union)
                 if star:
-                    delta = np.concatenate([np.setdiff1d(right, common, assume_unique=True), np.setdiff1d(left, common, assume_unique=True)])
+                    # what the leader lacks comes first, as it is rarer among members: negative codes, then the others
+                    added, lost = ((np.setdiff1d(x, common, assume_unique=True) >> np.uint64(1)).view(np.int64) for x in (right, left))
+                    delta = np.sort(np.concatenate([added | np.int64(-(2**63)), lost]))
                     sizes.append(len(right))
                     deltas.append(len(delta))
-                    heads.append(delta[: _most(len(right) + 100 * len(right) // PERCENT) + 1].view(np.int64))
+                    heads.append(delta[: _most(len(right) + 100 * len(right) // PERCENT) + 1])
             out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
             if star:
                 out += [pa.array(sizes, pa.int64()), pa.array(deltas, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
@@ -174,29 +186,63 @@ def _confirm(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, schema)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+
+def _map_of(reps: DataFrame) -> np.ndarray:
+    """The bit map of ``reps``: at most 2^20 words of 64 bits reach the driver, whatever the input."""
+    slots = reps.select(_slot("rep").alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def _slot(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(2**MAP_BITS))
+
+
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Full shingle sets of the documents in ``reps``."""
+    """Full shingle sets of the documents in ``reps``. Texts are not shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_map_of(reps))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words64 = bits.value
         for batch in batches:
-            found = [shingle_set(words(text)).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "shingles"])
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((words64[slot >> 6] >> (slot & 63)) & 1 == 1))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingle_set(words(text)).tobytes() for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
-    wanted = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(build, "rep long, shingles binary").dropDuplicates(["rep"])
+    built = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(build, "rep long, shingles binary")
+    return built.join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _among_members(stars: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of members of one star that its leader does not settle: not linked to it both, and not in one component yet."""
+    head = F.slice("delta", 1, HEAD)
+    known_to = F.when(F.col("n_delta") > F.size(head), F.element_at(head, -1)).otherwise(F.lit(2**63 - 1))
     members = stars.join(comps, stars["b"] == comps["node"], "left").select(
-        F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "n", "n_delta", F.coalesce("component", "b").alias("comp"), F.posexplode("delta").alias("at", "element")
-    )
+        F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "n", "n_delta", F.coalesce("component", "b").alias("comp"), head.alias("head"), F.size(head).alias("n_head"), known_to.alias("known_to"),
+        F.posexplode("delta").alias("at", "element"),
+    )
     x, y = members.alias("x"), members.alias("y")
     both = F.col("x.n") + F.col("y.n")
+    fits = lambda apart: apart * (100 + PERCENT) <= both * (100 - PERCENT)
     rest = F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at")))
+    # up to the smaller end of two cut heads, all elements of both differences are known; whole heads tell exactly
+    common = F.size(F.array_intersect("x.head", "y.head"))
+    last = F.least("x.known_to", "y.known_to")
+    before = lambda m: F.array_position(F.sort_array(F.array_append(f"{m}.head", last)), last) - 1 + F.array_contains(f"{m}.head", last).cast("int")
+    upto = lambda m: F.when(F.col(f"{m}.known_to") == last, F.col(f"{m}.n_head")).otherwise(before(m))
+    cut_apart = upto("x") + upto("y") - 2 * common + F.abs((F.col("x.n_delta") - upto("x")) - (F.col("y.n_delta") - upto("y")))
+    whole = (F.col("x.n_delta") <= F.col("x.n_head")) & (F.col("y.n_delta") <= F.col("y.n_head"))
     met = (
         (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-        & ~(F.col("x.linked") & F.col("y.linked")) & ((F.col("x.at") + F.col("y.at") + rest) * (100 + PERCENT) <= both * (100 - PERCENT))
+        & ~(F.col("x.linked") & F.col("y.linked")) & fits(F.col("x.at") + F.col("y.at") + rest) & F.when(whole, fits(F.col("x.n_delta") + F.col("y.n_delta") - 2 * common)).otherwise(fits(cut_apart))
     )
     return x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -213,22 +259,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its text; they share a component. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = cut_lineage(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, signature binary"))
+    signed = written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, signature binary"))
     words_only = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut_lineage(words_only.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
-    lists = cut_lineage(_lists(classes))
-    pairs = cut_lineage(_agree(_small_pairs(lists), classes))
-    stars = cut_lineage(lists.where((F.col("n") > SMALL) & (F.col("rep") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    ends = pairs.union(stars)
-    sets = cut_lineage(_sets(rows, ends.select(F.col("a").alias("rep")).union(ends.select("b")).distinct()))
-    links = cut_lineage(_confirm(pairs, sets, star=False)).where("linked").select("a", "b")
+    classes = written(words_only.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    lists = written(_lists(classes))
+    stars = lists.where((F.col("n") > SMALL) & (F.col("rep") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    sets = cut_lineage(_sets(rows, _ends(stars)))
     told = cut_lineage(_confirm(stars, sets, star=True))
-    links = links.union(told.where("linked").select("a", "b"))
-    comps = components(links)
-    if not told.isEmpty():
-        late = cut_lineage(_confirm(_among_members(told, comps), sets, star=False)).where("linked").select("a", "b")
-        if not late.isEmpty():
-            comps = components(late.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    comps = components(told.where("linked"))
+    pairs = cut_lineage(_agree(_small_pairs(lists, comps), classes).union(_among_members(told, comps)).distinct())
+    more = cut_lineage(_sets(rows, _ends(pairs).join(sets, "rep", "left_anti")))
+    links = _confirm(pairs, sets.union(more), star=False).where("linked").select("a", "b")
+    comps = components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")

@@ -1,7 +1,8 @@
 """Substring dedup: runs of consecutive sentences that the corpus has seen before are removed.
 
-A sentence ends after ``. ! ? ,`` or a line feed and the white space behind it. Every run of ``RUN`` sentences is hashed
-(128 bits, letters A to Z in lower case, white space as one space). The smallest doc_id that holds a run keeps it, and
+A sentence ends after ``. ! ? ,`` or a line feed and the white space behind it. From every sentence on, the shortest run of
+at least ``RUN`` sentences with at least ``WORDS`` words is hashed (128 bits, letters A to Z in lower case, white space as
+one space). The smallest doc_id that holds a run keeps it, and
 there the first place; sentences that any other occurrence covers are removed.
 
 A document sends each of its runs once; the shuffle folds them to a count and a smallest id on the map side, so a passage
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import text_or_empty
 
-#: Consecutive sentences of a run, and words that a run has at least.
-RUN, WORDS = 3, 10
+#: Consecutive sentences, and words, that a run has at least.
+RUN, WORDS = 2, 20
 _SENTENCE = re.compile(r"[^.!?,\n]*(?:[.!?,\n]+[ \t\n\x0b\x0c\r]*|\Z)")
 
 
@@ -38,12 +39,20 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(pieces: list[str]) -> list[tuple[int, bytes]]:
-    """(first sentence, hash) of every run with enough words."""
+def runs(pieces: list[str]) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentence after the last, hash) of the run from each sentence that has one."""
     words = [piece.encode("utf-8", "surrogatepass").lower().split() for piece in pieces]
-    sizes = [len(w) for w in words]
     flat = [b" ".join(w) for w in words]
-    return [(k, xxhash.xxh3_128_digest(b"\n".join(flat[k : k + RUN]))) for k in range(len(flat) - RUN + 1) if sum(sizes[k : k + RUN]) >= WORDS]
+    out, end, held = [], 0, 0
+    for start in range(len(flat)):
+        while end < len(flat) and (held < WORDS or end - start < RUN):
+            held += len(words[end])
+            end += 1
+        if held < WORDS or end - start < RUN:
+            break
+        out.append((start, end, xxhash.xxh3_128_digest(b"\n".join(flat[start:end]))))
+        held -= len(words[start])
+    return out
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +62,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owners, places, hashes = [], [], []
             for row, text in enumerate(part.column("text").to_pylist()):
                 first = {}
-                for k, h in runs(sentences(text)):
+                for k, _, h in runs(sentences(text)):
                     first.setdefault(h, k)
                 owners += [row] * len(first)
                 hashes += first
@@ -75,17 +84,15 @@ def seen_before(docs: DataFrame) -> DataFrame:
 def covered(text: str, places: set[int]) -> tuple[list[str], list[bool]]:
     """Sentences of a text, and which of them a repeated run covers: those at ``places``, and repeats within the text."""
     pieces = sentences(text)
+    found = runs(pieces)
+    # later places of a run that another document holds go with its first place here
+    back = {h for k, _, h in found if k in places}
     gone = [False] * len(pieces)
     met: set[bytes] = set()
-    for k, h in runs(pieces):
-        if k in places or h in met:
-            gone[k : k + RUN] = [True] * RUN
+    for start, end, h in found:
+        if h in back or h in met:
+            gone[start:end] = [True] * (end - start)
         met.add(h)
-    # a later place of a run that another document holds goes with its first place there
-    back = {h for k, h in runs(pieces) if k in places}
-    for k, h in runs(pieces):
-        if h in back:
-            gone[k : k + RUN] = [True] * RUN
     return pieces, gone
 
 

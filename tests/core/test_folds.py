@@ -148,3 +148,23 @@ def test_segments_worth_rewriting(spark):
     got = {r.segment: (r.physical, r.logical, r.compact) for r in fold.dead_ratio(entries).collect()}
     assert got == {1: (20, 10, True), 2: (5, 5, False), 3: (7, 0, False), 4: (7, 7, False)}
     assert [r._id for r in fold.segment_members(entries, 2).collect()] == ["a"]
+
+
+def test_debounce_matches_plain_reading(spark):
+    r = random.Random(5)
+    at, rows = 0.0, []
+    for seq in range(1500):
+        at += r.choice([0.0, 0.5, 1.0, 1.000001, 3.0, 40.0])
+        rows.append((seq, r.choice("aab"), at))
+    ops = spark.createDataFrame(rows, "seq long, _id string, at double").select("seq", "_id", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts"))
+    want = []
+    for id_ in "ab":
+        flush = []
+        for seq, _, t in sorted(x for x in rows if x[1] == id_):
+            if flush and round((t - flush[-1][1]) * 1e6) > 1_000_000:
+                want.append((id_, len(flush), flush[0][0], flush[-1][0]))
+                flush = []
+            flush.append((seq, t))
+        want.append((id_, len(flush), flush[0][0], flush[-1][0]))
+    got = [(x._id, x.n_writes, x.first_seq, x.last_seq) for x in fold.debounced(ops, 1.0).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100

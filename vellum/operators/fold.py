@@ -11,6 +11,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,16 +145,29 @@ def segment_members(entries: DataFrame, segment: int) -> DataFrame:
     return latest(entries, "_id", ["seq"], "segment").where(F.col("segment") == segment).select("_id")
 
 
-def debounced(ops: DataFrame, quiet: str = "5 seconds") -> DataFrame:
-    """Flushes of a write buffer that waits until a record has been quiet: (_id, began, ended, n_writes, first_seq, last_seq).
+def debounced(ops: DataFrame, quiet: float = 5.0) -> DataFrame:
+    """Flushes of a write buffer that waits until a record was quiet for ``quiet`` seconds: (_id, began, ended, n_writes, first_seq, last_seq).
 
-    Two operations exactly ``quiet`` apart fall into one flush. ``ts`` may be of either timestamp type.
+    Two operations exactly ``quiet`` apart fall into one flush. ``ts`` may be of either timestamp type. The time of a
+    record is cut into slots of 64 quiet times, and flushes are formed within slots, so a busy record is spread over
+    tasks; only the first and last flush of each slot are then joined to those of the slots beside it.
     """
-    window = F.session_window(F.col("ts").cast("timestamp"), quiet)
-    rows = ops.groupBy("_id", window.alias("quiet")).agg(
-        F.count(F.lit(1)).alias("n_writes"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
-    )
-    return rows.select("_id", "began", "ended", "n_writes", "first_seq", "last_seq")
+    reach = max(1, round(quiet * 1e6))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = ops.select("_id", F.floor(at / F.lit(64 * reach)).alias("slot"), at.alias("began_at"), at.alias("ended_at"), F.lit(1).cast("long").alias("n_writes"), F.col("ts").alias("began"), F.col("ts").alias("ended"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"))
+    parts = _joined(rows, ["_id", "slot"], reach).withColumn("last", F.max("flush").over(W.partitionBy("_id", "slot")))
+    border = (F.col("flush") == 1) | (F.col("flush") == F.col("last"))
+    columns = ["_id", "began", "ended", "n_writes", "first_seq", "last_seq"]
+    return parts.where(~border).select(*columns).unionByName(_joined(parts.where(border), ["_id"], reach).select(*columns))
+
+
+def _joined(flushes: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Flushes of each key that lie at most ``reach`` microseconds apart as one, numbered from 1."""
+    order = W.partitionBy(*keys).orderBy("began_at", "first_seq")
+    fresh = F.when(F.col("began_at") - F.lag("ended_at").over(order) <= reach, 0).otherwise(1)
+    numbered = flushes.withColumn("fresh", fresh).withColumn("flush", F.sum("fresh").over(order))
+    least, most = ([f(c).alias(c) for c in columns] for f, columns in ((F.min, ("began_at", "began", "first_seq")), (F.max, ("ended_at", "ended", "last_seq"))))
+    return numbered.groupBy(*keys, "flush").agg(F.sum("n_writes").alias("n_writes"), *least, *most)
 
 
 def flat_paths(docs: DataFrame) -> DataFrame:

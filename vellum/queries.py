@@ -325,7 +325,7 @@ def segment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
          s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT CAST(user_id AS VARCHAR) AS _id, min(ts) AS began, max(ts) AS ended, count(*) AS n_writes, min(event_id) AS first_seq, max(event_id) AS last_seq FROM s GROUP BY user_id, n""")
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.debounced(events_log(spark, sf_dir), "6 hours")
+    return fold.debounced(events_log(spark, sf_dir), 6 * 3600)
 
 
 @query("SELECT event_id, event_type || '.k' AS path, json_extract_string(props, '$.k') AS value FROM events")

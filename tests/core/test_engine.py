@@ -10,9 +10,9 @@ from vellum.__main__ import _parser, run
 from vellum.engine import Engine
 from vellum.errors import EngineError, QueryError, RecordNotFound, StoreExists, StoreNotFound
 from vellum.model import Identity, StoreSpec
-from vellum.operators import fold
+from vellum.operators import access, fold, index
 from vellum.plans.builder import Q
-from vellum.sources import segments
+from vellum.sources import audit, segments
 from vellum.streaming import feed
 
 
@@ -129,3 +129,37 @@ def test_debounced_stream(spark, tmp_path):
     query = feed.debounced_stream(stream).writeStream.format("memory").queryName("flushes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r._id, r.n_writes) for r in spark.table("flushes").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_audit(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.log").write_text(name * 10)
+    before = spark.createDataFrame(audit.manifest(spark, str(tmp_path), "*.log").collect())
+    (tmp_path / "b.log").write_text("b" * 9 + "x")
+    (tmp_path / "c.log").unlink()
+    found = audit.damaged(before, audit.manifest(spark, str(tmp_path), "*.log")).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.state) for r in found} == {("b.log", "changed"), ("c.log", "missing")}
+
+
+def test_fields_of_a_batch(spark):
+    batch = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}',), ("[1]",), (None,), ('{"d": null}',)], "body string")
+    known = spark.createDataFrame([("a",)], "field string")
+    assert sorted(r.field for r in index.new_fields(batch, known, "body").collect()) == ["b", "d"]
+    assert "a: BIGINT" in index.merged_schema(batch.where("body like '{%'"), "body").first().schema
+
+
+def test_bulk_ids(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "n")
+    got = access.with_new_ids(rows, Identity(length=1), spark.createDataFrame([("a",)], "_id string"), 3).collect()
+    assert len(got) == 2000 and all(r._id is None or (len(r._id) == 1 and r._id != "a") for r in got) and any(r._id is None for r in got)
+
+
+def test_postings_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([(str(n), f"common word{n % 5} {'rare' if n == 7 else ''}") for n in range(40)], "_id string, text string")
+    path = str(tmp_path / "postings")
+    index.write_postings(index.postings(docs, F.col("_id"), F.col("text")), path, files=3)
+    posted = spark.read.parquet(path)
+    ids = lambda *a, **k: sorted(int(r._id) for r in index.search_postings(posted, *a, **k).collect())
+    assert ids(["common", "word1"]) == list(range(1, 40, 5)) and ids(["rare", "word1"], mode="or") == sorted({7, *range(1, 40, 5)})
+    assert ids(["rare word3"]) == sorted({7, *range(3, 40, 5)}) and ids([]) == [] == ids(["the"]) and ids(["the", "rare"]) == []
+    assert {r.token: r.n_records for r in index.posting_sizes(posted).collect()}["common"] == 40

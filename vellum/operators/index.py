@@ -61,6 +61,11 @@ def discover_fields(df: DataFrame, doc: str | None = None) -> DataFrame:
     return filled.select(pairs.alias("x")).select("x.*").where("n > 0").select("field")
 
 
+def new_fields(batch: DataFrame, known: DataFrame, doc: str | None = None) -> DataFrame:
+    """(field) names in ``batch`` that ``known`` (field) lacks; for use on each micro-batch of a stream."""
+    return discover_fields(batch, doc).join(known.select("field").distinct(), "field", "left_anti")
+
+
 def merged_schema(df: DataFrame, doc: str) -> DataFrame:
     """One row: the schema that all bodies of ``doc`` share, as text."""
     body = F.col(f"`{doc}`")

@@ -40,14 +40,16 @@ def brute_repeats(docs):
             else:
                 parts.append(piece)
         split[doc_id] = parts
-        for k in range(len(parts) - 2):
-            key = tuple(tuple(p.lower().split()) for p in parts[k : k + 3])
-            if sum(map(len, key)) >= 10:
-                runs.append((key, doc_id, k))
+        for k in range(len(parts)):
+            for n in range(2, len(parts) - k + 1):
+                key = tuple(tuple(p.lower().split()) for p in parts[k : k + n])
+                if sum(map(len, key)) >= 20:
+                    runs.append((key, doc_id, k))
+                    break
     first, gone = {}, {d: set() for d in docs}
     for key, doc_id, k in runs:
         if first.setdefault(key, (doc_id, k)) != (doc_id, k):
-            gone[doc_id] |= {k, k + 1, k + 2}
+            gone[doc_id] |= set(range(k, k + len(key)))
     return {d: "".join(p for k, p in enumerate(split[d]) if k not in gone[d]) for d in docs}
 
 
@@ -55,7 +57,7 @@ def test_substring_dedup(spark):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
     sentence = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randrange(2, 9))) + r.choice([". ", "! ", ", ", "\n", "?  "])
-    passages = [[sentence() for _ in range(r.randrange(3, 7))] for _ in range(6)]
+    passages = [[sentence() for _ in range(r.randrange(3, 12))] for _ in range(6)]
     docs = {}
     for d in range(60):
         parts = [sentence() for _ in range(r.randrange(0, 12))]
@@ -237,3 +239,25 @@ def test_fingerprints(spark):
             exact = len(a & b) / len(a | b) if a | b else 1.0
             assert abs(likeness - exact) < (1e-9 if max(len(a), len(b)) <= spotsigs.KEPT else 0.25), (text, other)
     assert got[1000].fingerprint == got[-40].fingerprint
+
+
+def test_fingerprint_search(spark):
+    r = random.Random(12)
+    vocabulary = ["the", "of", "and", "un", "der"] + [f"word{i}" for i in range(200)]
+    docs = {}
+    for _ in range(12):
+        base = [r.choice(vocabulary) for _ in range(r.choice([8, 30, 90, 200]))]
+        for _ in range(r.randrange(1, 9)):
+            words = list(base)
+            for _ in range(r.randrange(0, 1 + len(words) // 25)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            docs[len(docs)] = " ".join(words[: len(words) - r.randrange(0, 4)])
+    docs[900] = ""
+    df = spark.createDataFrame([*docs.items(), (None, docs[0])], "doc_id long, text string").repartition(3)
+    sets = {d: brute_signs(t) for d, t in docs.items()}
+    asked = [d for d in docs if d % 3 == 0]
+    want = {(a, b) for a in asked for b in docs if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    got = spotsigs.search(df, df.where("doc_id % 3 = 0")).collect()
+    assert {(x.query_id, x.doc_id) for x in got} == want and len(got) == len(want) > 20
+    assert all(abs(x.similarity - len(sets[x.query_id] & sets[x.doc_id]) / len(sets[x.query_id] | sets[x.doc_id])) < 1e-9 for x in got)
+    assert spotsigs.search(df.limit(0), df).collect() == [] == spotsigs.search(df, df.limit(0)).collect()

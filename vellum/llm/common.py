@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters of ``[\x20\x09-\x0D]``, the only white space that the operators know.
 WHITE = " \t\n\x0b\x0c\r"
@@ -43,6 +44,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def long_id(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The id column as a long. One that is a long already stays unnamed anew: a new name would keep Spark from reusing shuffles of it."""
+    return F.col(name) if docs.schema[name].dataType == T.LongType() else F.col(name).cast("long").alias(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

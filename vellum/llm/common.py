@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters of ``[\x20\x09-\x0D]``, the only white space that the operators know.
 WHITE = " \t\n\x0b\x0c\r"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +55,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session hold 16 MB, where the session has Spark's own 64 MB: a worker and its executor hold several."""
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, str(16 * 2**20))
+
+
+def texts_of(column: pa.Array, size: int = 256) -> Iterator[str]:
+    """The values of an Arrow column one by one, of which only some are Python texts at a time."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 def batches_of(values: Iterable, size: int) -> Iterable[list]:
     """``values`` in lists of at most ``size``."""
     held: list = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut_lineage, text_or_empty, written
+from vellum.llm.common import bound_batches, cut_lineage, text_or_empty, texts_of, written
 from vellum.llm.components import components
 from vellum.llm.shingles import digest, mix, shingle_set, words
 
@@ -60,7 +60,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, signatures = [], [], []
-        for text in batch.column("text").to_pylist():
+        for text in texts_of(batch.column("text")):
             found = words(text)
             shingles = shingle_set(found)
             sizes.append(len(shingles))
@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join the component of a class that has ids, and has a null component_id otherwise. Rows that repeat an id must repeat
     its text; they share a component. An empty table gives an empty result. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, signature binary"))
     words_only = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())

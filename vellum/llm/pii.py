@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import text_or_empty, written
+from vellum.llm.common import bound_batches, text_or_empty, texts_of, written
 from vellum.llm.shingles import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -101,7 +101,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     near_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "term", "around", "start", "end")]))
     for batch in batches:
         counts, digests, spelled, near = ([], [], [], []), [], [], []
-        for text in batch.column("text").to_pylist():
+        for text in texts_of(batch.column("text")):
             body = text.encode("utf-8", "surrogatepass")
             spans = base_spans(body)
             words = near_words(body, spans) if spans else []
@@ -133,7 +133,7 @@ def _disclosing(rows: DataFrame, near: DataFrame) -> DataFrame:
         wanted = np.unpackbits(bitmap.value).astype(bool)
         for batch in batches:
             met: list[np.ndarray] = []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 h = (word_hashes(_WORD.findall(text.encode("utf-8", "surrogatepass").lower())) ^ np.uint64(2**63)).view(np.int64)
                 met.append(np.unique(h[wanted[h & (2**BITMAP_BITS - 1)]]))
             terms, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -154,6 +154,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows that repeat an id, and rows without one, are searched one by one; an empty table gives an empty result; other
     columns are not read. An entity seen in fewer than three surroundings discloses through no word.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = written(rows.mapInArrow(_find, _FOUND).withColumn("row", F.monotonically_increasing_id()))
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")

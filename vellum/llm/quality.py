@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import text_or_empty
+from vellum.llm.common import bound_batches, text_or_empty, texts_of
 from vellum.llm.shingles import mix, word_hashes
 
 #: Labelled rows that training reads at most (in expectation of the hash sample), the documented bound of the model fit.
@@ -47,14 +47,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
-    """Weights of the places and, last, the bias."""
+    """Weights of the places and, last, the bias. ``rows`` are changed: each gets the bias as its last feature."""
     z, n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
     bias_at, bias_value = np.array([2**BITS]), np.array([1.0])
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    rows = [(np.concatenate([at, bias_at]), np.concatenate([x, bias_value])) for at, x in rows]
+    for k, (at, x) in enumerate(rows):  # in place, as the rows are most of a worker's memory
+        rows[k] = (np.concatenate([at, bias_at]), np.concatenate([x, bias_value]))
     for _ in range(EPOCHS):
         for (at, x), label in zip(rows, labels, strict=True):
             zi, ni = z[at], n[at]
@@ -71,6 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> np.nd
     Rows with a null id or label are left out; of several labels of one id the smallest counts. Without any labelled row
     the weights are zero and each score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).where(~held_out("doc_id"))
     count = known.count()
@@ -81,9 +83,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, target = [], []
         for batch in batches:
-            found += [features(text) for text in batch.column("text").to_pylist()]
+            found += [features(text) for text in texts_of(batch.column("text"))]
             target += batch.column("label").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([train(found, target).tobytes()], pa.binary())], names=["model"])
+        model = train(found, target).tobytes()
+        found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     ordered = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
     models = ordered.select("text", "label").mapInArrow(run, "model binary").collect()
@@ -97,13 +101,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """All columns of ``docs`` and ``__quality_score`` (0 to 1) of the whole text; a null text scores as an empty one, by the bias alone."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value.astype(np.float64)
         for batch in batches:
             sums = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            for k, text in enumerate(texts_of(batch.column(batch.num_columns - 1))):
                 at, x = features(text)
                 sums[k] = w[at] @ x + w[-1]
             scores = pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))

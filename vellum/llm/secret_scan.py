@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import text_or_empty
+from vellum.llm.common import bound_batches, text_or_empty, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Bytes before and after a candidate that count as its surroundings.
@@ -123,7 +123,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, spelled = ([], [], []), [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 spans = scan(text)
                 base = [x for x in spans if x[1] < 3]
                 for kind, column in enumerate(counts):
@@ -135,6 +135,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -145,9 +146,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if text is None else redact(text, scan(text)) for text in batch.column(at).to_pylist()]
+            texts = [None if text is None else redact(text, scan(text)) for text in texts_of(batch.column(at))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
+    bound_batches(docs.sparkSession)
     out = docs.withColumn("text", F.col("text").cast("string"))
     if "n_chars" not in docs.columns:
         return out.mapInArrow(clean, out.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import text_or_empty
+from vellum.llm.common import bound_batches, text_or_empty
 
 #: Consecutive sentences, and words, that a run has at least.
 RUN, WORDS = 2, 20
@@ -117,5 +117,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_chars"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.join(seen_before(docs), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(clean, "doc_id long, text string, n_sentences long, n_removed long, removed_chars long")

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,58 +23,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batches_of, cut_lineage, text_or_empty
+from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard; a task holds the ids and the index of one shard at a time.
 SHARD_TOKENS = 2**19
-#: Words of a generation of a worker's memo. It holds two: words met again move to the young one, the old one is dropped.
-MEMO_WORDS = 200_000
+#: Words that a worker's memo of encoded words holds at most before it starts anew.
+MEMO_WORDS = 500_000
 K1, B = 1.2, 0.75
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Signs that end a word of letters (ASCII, or Latin-1 in UTF-8): the vocabulary splits them off, so they may as well stand
+#: alone. An apostrophe may not, as it belongs to what follows.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 
 _tokenizers: dict = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and the two generations of its memo, one set a worker."""
+    """The tokenizer of a file, the same for words of letters, which ids end a word, and the memo of words; one set a worker."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), [{}, {}])
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        letters = Tokenizer(tokenizer.model)
+        letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        _tokenizers[path] = (tokenizer, letters, ends, {})
     return _tokenizers[path]
 
 
+def _encode_words(tokenizer, letters, ends: np.ndarray, new: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(word, ids) of words. Nothing splits a word of letters, so it needs no patterns; such words end where a piece with a word end does, so many are encoded as one text."""
+    plain, other = [], []
+    for word in new:
+        text = word.decode("utf-8", "replace")
+        (plain if text.isalpha() and text.lower().isalpha() else other).append((word, text))
+    for part in batches_of(plain, 4096):
+        ids = np.array(letters.encode_batch_fast([" ".join(text for _, text in part)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(part):
+            other += part
+            continue
+        cells, stops = ids.tobytes(), (stops * 4).tolist()
+        yield from zip((word for word, _ in part), (cells[a:b] for a, b in zip([0, *stops], stops)), strict=True)
+    for part in batches_of(other, 4096):
+        coded = tokenizer.encode_batch_fast([text for _, text in part], add_special_tokens=False)
+        yield from ((word, np.array(x.ids, np.uint32).tobytes()) for (word, _), x in zip(part, coded, strict=True))
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, and ``END_ID`` after them.
 
-    The vocabulary drops white space, so a text encodes as its runs without ASCII white space do, one after another; a
-    run that the worker has met before is looked up. A tokenizer that keeps white space would need whole texts here.
+    The vocabulary drops white space and case, so a text encodes as its runs without ASCII white space do, one after
+    another, in lower case; a run that the worker has met before is looked up. A tokenizer that keeps white space would
+    need whole texts here. Texts with ``<|`` keep their case, as control strings have one.
     """
-    tokenizer, memo = _tokenizer(path)
-    if len(memo[0]) > MEMO_WORDS:
-        memo[:] = [{}, memo[0]]
-    young, old = memo
-    split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-    new = []
-    for word in {word for found in split for word in found if word not in young}:
-        if word in old:
-            young[word] = old[word]
-        else:
-            new.append(word)
-    for part in batches_of(new, 4096):
-        coded = tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in part], add_special_tokens=False)
-        young.update((word, np.array(x.ids, np.uint32).tobytes()) for word, x in zip(part, coded, strict=True))
-    return [np.frombuffer(b"".join([young[word] for word in found]) + END_ID.to_bytes(4, "little"), np.uint32) for found in split]
+    tokenizer, letters, ends, memo = _tokenizer(path)
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    bodies = (text.encode("utf-8", "surrogatepass") for text in texts)
+    split = [_TAIL.sub(rb" \g<0>", body if b"<|" in body else body.lower()).split() for body in bodies]
+    memo.update(_encode_words(tokenizer, letters, ends, set().union(*split).difference(memo)))
+    last = END_ID.to_bytes(4, "little")
+    return [np.frombuffer(b"".join([*map(memo.__getitem__, found), last]), np.uint32) for found in split]
+
+
+def _distinct(documents: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, count) of the distinct ids of each document, sorted; ids are under ``size``."""
+    flat = np.concatenate(documents)
+    owner = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
+    codes = owner * size + flat
+    codes, counts = np.unique(codes.astype(np.uint32) if len(documents) * size < 2**32 else codes, return_counts=True)
+    owner, ids = np.divmod(codes.astype(np.int64), size)
+    return owner, ids, counts
 
 
 def _tokenise(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n, key of each row, and rows with ``df`` alone: document counts of ids, summed over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
+        size = len(_tokenizer(path)[2])
+        df = np.zeros(size, np.int64)
+        mixed = np.arange(size, dtype=np.uint64) * _ODD
 
         def out(doc_ids, ids, n, keys, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -84,13 +119,8 @@ def _tokenise(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 coded = encode(part.column("text").to_pylist(), path)
-                keys = []
-                for ids in coded:
-                    terms = np.unique(ids)
-                    if terms[-1] >= len(df):
-                        df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-                    df[terms] += 1
-                    keys.append(int(terms[np.argmin(terms.astype(np.uint64) * _ODD)]))
+                df += np.bincount(_distinct(coded, size)[1], minlength=size)
+                keys = [int(ids[np.argmin(mixed[ids])]) for ids in coded]
                 narrow = [(b"2" + x.astype(np.uint16).tobytes()) if x.max() < 65536 else (b"4" + x.tobytes()) for x in coded]
                 yield out(part.column("doc_id"), narrow, [len(x) for x in coded], keys, [None] * len(coded))
         yield out(pa.array([None], pa.int64()), [None], [0], [None], [df.tobytes()])
@@ -136,31 +166,33 @@ class Index:
     """Inverted index of one shard: postings of each term, with BM25 weights."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, counts, sizes = [], [], []
-        for ids in documents:
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            sizes.append(len(t))
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(terms)
-        tf = np.concatenate(counts)
-        owner = np.repeat(np.arange(len(documents)), sizes)
+        owner, flat, tf = _distinct(documents, len(idf))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(documents)))])
         norm = K1 * (1 - B + B * np.array([len(x) for x in documents])[owner] / mean)
-        weight = idf[flat] * tf * (K1 + 1) / (tf + norm)
-        self.names, self.terms = np.unique(flat, return_inverse=True)
-        order = np.argsort(self.terms, kind="stable")
-        self.docs, self.weights = owner[order], weight[order]
-        self.ends = np.cumsum(np.bincount(self.terms, minlength=len(self.names)))
-        self.lengths = np.bincount(self.terms, minlength=len(self.names))
+        weights = idf[flat] * tf * (K1 + 1) / (tf + norm)
+        there = np.bincount(flat, minlength=len(idf)) > 0
+        self.terms = (np.cumsum(there) - 1)[flat]
+        lengths = np.bincount(self.terms)
         self.n = len(documents)
+        # terms of more than an eighth of the documents are rows of a matrix (of at most eight cells a posting), others lists
+        common = lengths * 8 > self.n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.n), np.float32)
+        dense = common[self.terms]
+        self.dense[self.row[self.terms[dense]], owner[dense]] = weights[dense]
+        listed = np.flatnonzero(~dense)
+        listed = listed[np.argsort(self.terms[listed], kind="stable")]
+        self.docs, self.weights = owner[listed], weights[listed]
+        self.lengths = np.where(common, 0, lengths)
+        self.ends = np.cumsum(self.lengths)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct terms of ``seed``."""
         query = self.terms[self.starts[seed] : self.starts[seed + 1]]
+        rows = self.row[query]
         length = self.lengths[query]
         at = np.repeat(self.ends[query] - np.cumsum(length), length) + np.arange(length.sum())
-        return np.bincount(self.docs[at], self.weights[at], minlength=self.n)
+        return np.bincount(self.docs[at], self.weights[at], minlength=self.n) + self.dense[rows[rows >= 0]].sum(axis=0)
 
 
 def chain(index: Index, sizes: np.ndarray) -> list[int]:
@@ -219,6 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     repeat an id are packed one by one; texts longer than a window fill several; an empty table gives no pieces; other
     columns are ignored. Documents without a common scored term follow in the order of their ids.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     coded = cut_lineage(_tokenise(rows, tokenizer_path))
     counts = _document_counts(coded)

@@ -147,3 +147,23 @@ def test_packing_neighbours_share_words():
     order = packing.chain(index, np.full(50, 10))
     assert sorted(order) == list(range(50))
     assert sum(a % 5 == b % 5 for a, b in zip(order, order[1:])) >= 45
+
+
+def test_packing_copies_meet(spark, monkeypatch):
+    """Equal texts share a shard, however many shards a common word's documents fill; near copies mostly do."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4000)
+    r = np.random.default_rng(7)
+    texts = [" ".join(["the", *(f"w{x}" for x in r.integers(0, 40, 60))]) for _ in range(150)]
+    rows = [(k * 150 + d, t + (" end" if k == 2 else "")) for k in range(3) for d, t in enumerate(texts)]
+    shard = {p.doc_id: p.sequence_id >> 32 for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()}
+    assert len(set(shard.values())) > 10
+    assert all(shard[d] == shard[150 + d] for d in range(150))
+    assert sum(shard[d] == shard[300 + d] for d in range(150)) > 75
+
+
+def test_packing_deals_overfull_copies(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2000)
+    rows = [(d, "same words in every document") for d in range(1500)] + [(9000 + d, f"other{d} words") for d in range(30)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
+    assert {p.doc_id for p in pieces} == {d for d, _ in rows}
+    assert len({p.sequence_id >> 32 for p in pieces if p.doc_id < 9000}) > 2

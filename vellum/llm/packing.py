@@ -2,10 +2,11 @@
 
 1. Every document is tokenised once; the ids (two or four bytes each) go to the shared checkpoint folder together with
    the number of documents that hold each id, summed per partition. These sums, over all documents, give the idf.
-2. Documents meet in shards of about ``SHARD_TOKENS`` tokens by the least hash among their distinct ids, so that texts
-   with a shared vocabulary (and all copies) tend to meet. Tokens per such key are counted first (there are no more keys
-   than ids in the vocabulary); a key with more tokens than a shard gets a run of shards and its documents are dealt over
-   them by a hash of the row. No shard depends on how often a text, a source or a word occurs.
+2. Documents meet in shards of at most ``SHARD_TOKENS`` tokens by content alone: first by the least hash among their
+   distinct ids, and a group over the size of a shard is split by the next key of ``PATH``: least hashes of other orders of
+   the ids, the least hash of token shingles, the hash of all ids. Neighbouring groups share shards. Equal texts have equal
+   keys, so only copies of one text that overfill a shard are dealt by row. Tokens of groups are counted first, a level at
+   a time; there are no more groups than ids in the vocabulary and ``FAN`` a shard and level.
 3. Inside a shard an inverted index (ids to documents with BM25 weights) ranks the unused documents for each seed. The
    seed opens a window, neighbours fill it in order, and the document that overruns the window is cut; its rest seeds the
    next one. The last window of a shard is cut into sequences of powers of two, so nothing is padded.
@@ -20,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty
+from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty, written
+from vellum.llm.shingles import mix
 
 WINDOW = 4096
 END_ID = 2
@@ -31,8 +34,14 @@ END_ID = 2
 SHARD_TOKENS = 2**19
 #: Words that a worker's memo of encoded words holds at most before it starts anew.
 MEMO_WORDS = 500_000
+#: Content keys of a document: least hashes of its ids in so many orders, then of its shingles, then the hash of all ids.
+ORDERS, SHINGLE = 4, 5
+PATH = ORDERS + 2
+#: Groups that a group over the size of a shard is split into, for each shard that it fills.
+FAN = 4
 K1, B = 1.2, 0.75
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ORDERS = _ODD ** np.arange(1, 2 * ORDERS, 2, dtype=np.uint64)
 #: Signs that end a word of letters (ASCII, or Latin-1 in UTF-8): the vocabulary splits them off, so they may as well stand
 #: alone. An apostrophe may not, as it belongs to what follows.
 _TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
@@ -102,30 +111,48 @@ def _distinct(documents: list[np.ndarray], size: int) -> tuple[np.ndarray, np.nd
     return owner, ids, counts
 
 
+def _paths(documents: list[np.ndarray], owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ``PATH`` content keys of each document, coarse to fine; ``owner`` and ``ids`` are its distinct ids. Equal documents have equal keys."""
+    out = np.empty((len(documents), PATH), np.uint64)
+    starts = np.searchsorted(owner, np.arange(len(documents)))
+    for k, odd in enumerate(_ORDERS):
+        out[:, k] = np.minimum.reduceat(mix((ids.astype(np.uint64) + np.uint64(1)) * odd), starts)
+    flat = np.concatenate(documents).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum([len(x) for x in documents])
+    rolled = flat.copy()
+    for k in range(1, SHINGLE):
+        rolled[:-k] = rolled[:-k] * _ODD + flat[k:]
+    rolled = mix(rolled)
+    for k in range(1, SHINGLE):  # shingles that begin too near the end of a document reach into the next
+        rolled[np.maximum(ends - k, 0)] = np.iinfo(np.uint64).max
+    out[:, -2] = np.minimum.reduceat(rolled, np.concatenate([[0], ends[:-1]]))
+    out[:, -1] = [xxhash.xxh3_64_intdigest(x) for x in documents]
+    return out.view(np.int64)
+
+
 def _tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n, key of each row, and rows with ``df`` alone: document counts of ids, summed over a partition."""
+    """doc_id, ids, n, path (content keys) of each row, and rows with ``df`` alone: document counts of ids, summed over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(_tokenizer(path)[2])
         df = np.zeros(size, np.int64)
-        mixed = np.arange(size, dtype=np.uint64) * _ODD
 
-        def out(doc_ids, ids, n, keys, counts) -> pa.RecordBatch:
+        def out(doc_ids, ids, n, paths, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())], names=["doc_id", "ids", "n", "key", "df"]
+                [doc_ids, pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "ids", "n", "path", "df"]
             )
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 coded = encode(part.column("text").to_pylist(), path)
-                df += np.bincount(_distinct(coded, size)[1], minlength=size)
-                keys = [int(ids[np.argmin(mixed[ids])]) for ids in coded]
+                owner, ids, _ = _distinct(coded, size)
+                df += np.bincount(ids, minlength=size)
                 narrow = [(b"2" + x.astype(np.uint16).tobytes()) if x.max() < 65536 else (b"4" + x.tobytes()) for x in coded]
-                yield out(part.column("doc_id"), narrow, [len(x) for x in coded], keys, [None] * len(coded))
+                yield out(part.column("doc_id"), narrow, [len(x) for x in coded], list(_paths(coded, owner, ids)), [None] * len(coded))
         yield out(pa.array([None], pa.int64()), [None], [0], [None], [df.tobytes()])
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, n long, key long, df binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary, n long, path array<long>, df binary")
 
 
 def _ids(cell: bytes) -> np.ndarray:
@@ -152,14 +179,53 @@ def _document_counts(coded: DataFrame) -> np.ndarray:
     return total([row[0] for row in sums])
 
 
+def _split(rows: DataFrame, level: int, splits: DataFrame) -> DataFrame:
+    """``rows`` with ``part`` replaced where ``splits`` (part, parts) has it: by the one of ``parts`` that the key of ``level`` names."""
+    chosen = F.element_at("parts", (F.pmod(F.element_at("path", level + 1), F.size("parts").cast("long")) + 1).cast("int"))
+    return rows.join(F.broadcast(splits), "part", "left").withColumn("part", F.coalesce(chosen, "part")).drop("parts")
+
+
+def _fill_shards(parts: list[tuple[tuple, int, int]]) -> list[tuple[int, int, int]]:
+    """(part, first shard, shards) of (order, part, tokens): neighbours share a shard while they fit, larger ones get a run of shards."""
+    out, shard, held = [], 0, 0
+    for _, part, n in sorted(parts):
+        if held and held + n > SHARD_TOKENS:
+            shard, held = shard + 1, 0
+        run = max(-(-n // SHARD_TOKENS), 1)
+        out.append((part, shard, run))
+        shard, held = (shard, held + n) if run == 1 else (shard + run, 0)
+    return out
+
+
 def _shards(coded: DataFrame) -> DataFrame:
-    """(key, first, shards) for each key: the run of shards that its documents are dealt over. Keys are ids of the vocabulary."""
-    keys = coded.where("df IS NULL").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    ends = keys["n"].cumsum().to_numpy()
-    first = (ends - keys["n"].to_numpy()) // SHARD_TOKENS
-    last = np.maximum((ends - 1) // SHARD_TOKENS, first)
-    keys = keys.assign(first=first, shards=last - first + 1)[["key", "first", "shards"]]
-    return coded.sparkSession.createDataFrame(keys, "key long, first long, shards long")
+    """doc_id, ids, n, shard of each document."""
+    spark = coded.sparkSession
+    rows = coded.where("df IS NULL").select("doc_id", "ids", "n", "path").withColumn("part", F.element_at("path", 1).bitwiseOR(F.lit(-(2**63))))  # parts of later levels are not negative
+    sizes = written(rows.select("n", "path", "part"))
+    found = sizes.groupBy("part").agg(F.sum("n").alias("n")).collect()
+    orders = {r.part: (r.part,) for r in found}
+    tokens = {r.part: r.n for r in found}
+    done, new = [], 0
+    for level in range(1, PATH):
+        large = {p: n for p, n in tokens.items() if n > SHARD_TOKENS}
+        done += [(orders[p], p, n) for p, n in tokens.items() if p not in large]
+        tokens = {}
+        if not large:
+            break
+        splits, at = [], new
+        for p, n in large.items():
+            fan = FAN * -(-n // SHARD_TOKENS)
+            splits.append((p, list(range(at, at + fan))))
+            orders |= {at + k: (*orders[p], k) for k in range(fan)}
+            at += fan
+        table = spark.createDataFrame(splits, "part long, parts array<long>")
+        rows, sizes = _split(rows, level, table), _split(sizes, level, table)
+        tokens = {r.part: r.n for r in sizes.where(F.col("part").between(new, at - 1)).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+        new = at
+    done += [(orders[p], p, n) for p, n in tokens.items()]
+    runs = spark.createDataFrame(_fill_shards(done), "part long, first long, shards long")
+    deal = F.col("first") + F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.col("shards"))
+    return rows.join(F.broadcast(runs), "part").select("doc_id", "ids", "n", deal.alias("shard"))
 
 
 class Index:
@@ -275,7 +341,5 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             }
         )
 
-    deal = F.col("first") + F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.col("shards"))
-    dealt = coded.where("df IS NULL").join(F.broadcast(_shards(coded)), "key").select("doc_id", "ids", "n", deal.alias("shard"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInArrow(fill, schema)
+    return _shards(coded).groupBy("shard").applyInArrow(fill, schema)

@@ -72,6 +72,39 @@ def test_substring_dedup(spark):
     assert all(got[d].removed_chars == len(docs[d]) - len(want[d]) for d in docs) and sum(x.n_removed for x in got.values()) > 50
 
 
+def brute_all_runs(docs):
+    """Removed text by document, from every run of at least 2 pieces and 20 words."""
+    first, gone, runs = {}, {d: set() for d in docs}, []
+    split = {d: substring_dedup.pieces_of(docs[d])[0] for d in docs}
+    for d in sorted(docs):
+        words = [tuple(p.lower().split()) for p in split[d]]
+        for k in range(len(words)):
+            for end in range(k + 2, len(words) + 1):
+                if sum(map(len, words[k:end])) >= 20:
+                    key = tuple(words[k:end])
+                    first.setdefault(key, (d, k))
+                    runs.append((key, d, k, end))
+    for key, d, k, end in runs:
+        if first[key] != (d, k):
+            gone[d] |= set(range(k, end))
+    return {d: "".join(p for k, p in enumerate(split[d]) if k not in gone[d]) for d in docs}
+
+
+def test_substring_dedup_finds_all_runs(spark):
+    r = random.Random(8)
+    sentence = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n)) + ". "
+    passages = [[sentence(r.choice([1, 3, 8, 15, 15, 30])) for _ in range(r.randrange(2, 7))] for _ in range(8)]
+    docs = {d: "".join(s for _ in range(3) for s in [sentence(r.randrange(1, 12)), *r.choice(passages)[r.randrange(2) :]]) for d in range(30)}
+    tail = "".join(map(sentence, (15, 15, 15, 3)))
+    inner = sentence(60).removesuffix(". ")
+    docs |= {100: tail, 101: tail, 102: f"before it {inner} and so on", 103: f"other words lead here {inner} then something else"}
+    got = {x.doc_id: x for x in substring_dedup.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert {d: got[d].text for d in docs} == brute_all_runs(docs)
+    assert (got[101].text, got[101].n_sentences, got[101].n_removed) == ("", 4, 4)
+    assert got[102].text == docs[102] and len(got[103].text.split()) < 30 and got[103].n_removed == 0
+    assert all("".join(substring_dedup.pieces_of(t)[0]) == t for t in [*docs.values(), " \n", "", " " * 50, "  lead " + "a " * 40 + "\n\n  x"])
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------------
 
 

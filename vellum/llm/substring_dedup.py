@@ -1,18 +1,21 @@
 """Substring dedup: runs of consecutive sentences that the corpus has seen before are removed.
 
-A sentence ends after ``. ! ? ,`` or a line feed and the white space behind it. From every sentence on, the shortest run of
-at least ``RUN`` sentences with at least ``WORDS`` words is hashed (128 bits, letters A to Z in lower case, white space as
-one space). The smallest doc_id that holds a run keeps it, and
-there the first place; sentences that any other occurrence covers are removed.
+A sentence ends after ``. ! ? ,`` or a line feed and the white space behind it; one of more than ``WORDS`` words is cut
+into pieces before words that a hash of the word chooses, so that equal passages inside sentences are cut alike. From every
+piece on, and up to every piece, the shortest run of at least ``RUN`` pieces with at least ``WORDS`` words is hashed (128
+bits, letters A to Z in lower case, white space as one space). Any longer run is the union of such runs, so these find what
+all runs would. The smallest doc_id that holds a run keeps it, and there the first place; pieces that any other occurrence
+covers are removed.
 
 A document sends each of its runs once; the shuffle folds them to a count and a smallest id on the map side, so a passage
-in a third of all documents costs one row a task. The join back carries 28 bytes a run; adaptive execution splits it where
-a run is frequent. Positions of a document meet again by its id, bounded by its own length.
+in a third of all documents costs one row a task. The join back carries 28 bytes of each run that a bit map of fixed size
+does not rule out; adaptive execution splits it where a run is frequent. Positions of a document meet again by its id, bounded by its own length.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bound_batches, text_or_empty
+from vellum.llm.common import WHITE, bound_batches, text_or_empty, written
 
-#: Consecutive sentences, and words, that a run has at least.
+#: Consecutive sentences (or pieces of long ones), and words, that a run has at least.
 RUN, WORDS = 2, 20
+#: One word in so many begins a piece of a long sentence, and the most words of such a piece.
+ONE_IN, PIECE_WORDS = 4, 10
+#: Bits of the map that tells which runs may be repeated; a set bit is confirmed by a join.
+MAP_BITS = 26
 _SENTENCE = re.compile(r"[^.!?,\n]*(?:[.!?,\n]+[ \t\n\x0b\x0c\r]*|\Z)")
+_WORD = re.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+(?:[ \t\n\x0b\x0c\r]+\Z)?")
 
 
 def sentences(text: str) -> list[str]:
@@ -39,20 +47,51 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def split_long(sentence: str) -> list[str]:
+    """The pieces of a sentence; one of at most ``WORDS`` words is one piece."""
+    words = _WORD.findall(sentence) if len(sentence) > 2 * WORDS else []
+    if len(words) <= WORDS:
+        return [sentence]
+    out: list[list[str]] = [[]]
+    for word in words:
+        if out[-1] and (len(out[-1]) == PIECE_WORDS or zlib.crc32(word.strip(WHITE).encode("utf-8", "surrogatepass").lower()) % ONE_IN == 0):
+            out.append([])
+        out[-1].append(word)
+    return ["".join(piece) for piece in out]
+
+
+def pieces_of(text: str) -> tuple[list[str], list[int]]:
+    """Pieces that join to the text, and the sentence of each."""
+    split = [split_long(sentence) for sentence in sentences(text)]
+    return [piece for part in split for piece in part], [k for k, part in enumerate(split) for _ in part]
+
+
 def runs(pieces: list[str]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, hash) of the run from each sentence that has one."""
+    """(first piece, piece after the last, hash) of the shortest run from each piece and up to each piece that has one, in order."""
     words = [piece.encode("utf-8", "surrogatepass").lower().split() for piece in pieces]
     flat = [b" ".join(w) for w in words]
-    out, end, held = [], 0, 0
+    spans, end, held = [], 0, 0
     for start in range(len(flat)):
         while end < len(flat) and (held < WORDS or end - start < RUN):
             held += len(words[end])
             end += 1
         if held < WORDS or end - start < RUN:
             break
-        out.append((start, end, xxhash.xxh3_128_digest(b"\n".join(flat[start:end]))))
+        spans.append((start, end))
         held -= len(words[start])
-    return out
+    # where a run from some piece ends, the last such run is also the shortest up to there
+    if spans:
+        ends = {end for _, end in spans}
+        start, held = 0, sum(map(len, words[: spans[0][1]]))
+        for end in range(spans[0][1] + 1, len(flat) + 1):
+            held += len(words[end - 1])
+            while end - start > RUN and held - len(words[start]) >= WORDS:
+                held -= len(words[start])
+                start += 1
+            if end not in ends:
+                spans.append((start, end))
+        spans.sort()
+    return [(start, end, xxhash.xxh3_128_digest(b"\n".join(flat[start:end]))) for start, end in spans]
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +101,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owners, places, hashes = [], [], []
             for row, text in enumerate(part.column("text").to_pylist()):
                 first = {}
-                for k, _, h in runs(sentences(text)):
+                for k, (_, _, h) in enumerate(runs(pieces_of(text)[0])):
                     first.setdefault(h, k)
                 owners += [row] * len(first)
                 hashes += first
@@ -73,31 +112,49 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _map_of(repeated: DataFrame) -> np.ndarray:
+    """The bit map of repeated hashes: at most 2^20 words of 64 bits reach the driver, whatever the input."""
+    slots = repeated.select(F.col("h1").bitwiseAND(F.lit(2**MAP_BITS - 1)).alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
 def seen_before(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): first sentences of a document's runs that a smaller doc_id holds."""
+    """(doc_id, places): numbers of a document's runs that a smaller doc_id holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     found = rows.mapInArrow(_emit, "doc_id long, place int, h1 long, h2 long")
-    repeated = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    repeated = written(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+    bits = docs.sparkSession.sparkContext.broadcast(_map_of(repeated))
+
+    def emit_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words64 = bits.value
+        for batch in _emit(batches):
+            slot = batch.column("h1").to_numpy() & (2**MAP_BITS - 1)
+            yield batch.filter(pa.array((words64[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    found = rows.mapInArrow(emit_repeated, "doc_id long, place int, h1 long, h2 long")
     return found.join(repeated, ["h1", "h2"]).where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def covered(text: str, places: set[int]) -> tuple[list[str], list[bool]]:
-    """Sentences of a text, and which of them a repeated run covers: those at ``places``, and repeats within the text."""
-    pieces = sentences(text)
+def covered(text: str, places: set[int]) -> tuple[list[str], list[int], list[bool]]:
+    """Pieces of a text, their sentences, and which of them a repeated run covers: runs of the numbers ``places``, and repeats within the text."""
+    pieces, owners = pieces_of(text)
     found = runs(pieces)
     # later places of a run that another document holds go with its first place here
-    back = {h for k, _, h in found if k in places}
+    back = {h for k, (_, _, h) in enumerate(found) if k in places}
     gone = [False] * len(pieces)
     met: set[bytes] = set()
     for start, end, h in found:
         if h in back or h in met:
             gone[start:end] = [True] * (end - start)
         met.add(h)
-    return pieces, gone
+    return pieces, owners, gone
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text (without repeated sentences), n_sentences, n_removed, removed_chars for each row of ``docs``.
+    """doc_id, text (without repeated pieces), n_sentences, n_removed (sentences of which nothing is left), removed_chars for each row of ``docs``.
 
     Defined cases: a null text is empty; texts shorter than a run stay whole, whatever they repeat; a row with a null id
     loses only repeats within itself; rows that repeat an id count as one document and keep what it holds; an empty table
@@ -108,9 +165,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                pieces, gone = covered(text, set(places or ()))
+                pieces, owners, gone = covered(text, set(places or ()))
                 kept = "".join(p for p, g in zip(pieces, gone, strict=True) if not g)
-                out.append((kept, len(pieces), sum(gone), len(text) - len(kept)))
+                left = {k for k, g in zip(owners, gone, strict=True) if not g}
+                n = owners[-1] + 1 if owners else 0
+                out.append((kept, n, n - len(left), len(text) - len(kept)))
             texts, n, removed, chars = zip(*out, strict=True) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(chars, pa.int64())],

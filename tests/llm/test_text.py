@@ -167,3 +167,22 @@ def test_packing_deals_overfull_copies(spark, monkeypatch):
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
     assert {p.doc_id for p in pieces} == {d for d, _ in rows}
     assert len({p.sequence_id >> 32 for p in pieces if p.doc_id < 9000}) > 2
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_keys_of_any_length_are_found(alphabet):
+    r = np.random.default_rng(5)
+    for length in (16, 24, 32, 48, 64, 128, 256, 512, 560, 1000, 2000):
+        keys = ["7A" + "".join(r.choice(list(alphabet), length - 2)) for _ in range(20)]
+        texts = [f"see Authorization: Bearer {key} and more" for key in keys]
+        missed = [k for k, text in zip(keys, texts) if secret_scan.redact(text, secret_scan.scan(text)) != "see Authorization: Bearer [SECRET] and more"]
+        assert len(missed) <= 1, (length, len(missed))
+
+
+def test_later_candidates_and_values_are_tried():
+    key = "q8Zr1LmX0vTn5PwKd3Hs9YbCg7Jf2UaE"
+    name = "application_config_default_application_config_default_application_config_default_value1"
+    for before in ("auth application_config_default ", f"auth {name}="):
+        text = f"{before}{key} x"
+        assert secret_scan.redact(text, secret_scan.scan(text)) == f"{before}[SECRET] x"
+    assert secret_scan.scan(f"auth {name * 8} x") == []

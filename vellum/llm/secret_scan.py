@@ -8,7 +8,10 @@ were; names, paths and repeated values shrink. One pass over the rows, no shuffl
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -24,8 +27,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SURROUNDINGS = 512
 #: Bytes after a context word in which a candidate may begin.
 REACH = 48
-#: Marginal compressed bytes a byte from which a candidate counts as novel.
-NOVELTY = 0.8
+#: Marginal compressed bytes a byte from which a candidate counts as novel; where random strings of its alphabet and length
+#: compress further, this share of what they take.
+NOVELTY, RANDOM_SHARE = 0.8, 0.95
+#: Random strings that are tried, and the length from which the entropy of the alphabet stands for them.
+SAMPLES, LONG = 16, 4096
 REDACTED = "[SECRET]"
 
 #: Words of sensitive context, and common identifiers for the dictionary.
@@ -45,16 +51,47 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)).encode())
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{16,}")
+#: Bytes of a candidate at least.
+SHORTEST = 16
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
+_DIGITS, _UPPER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets of keys, small ones first: hexadecimal, base32, digits with one case or both, base64 and what else a candidate holds.
+_ALPHABETS = (
+    _DIGITS + b"ABCDEF", _DIGITS + b"abcdef", _UPPER + b"234567", _UPPER.lower() + b"234567", _DIGITS + _UPPER, _DIGITS + _UPPER.lower(),
+    _DIGITS + _UPPER + _UPPER.lower(), _DIGITS + _UPPER + _UPPER.lower() + b"+/",
+)
+
+
+def _marginal(value: bytes, around: bytes) -> float:
+    """Compressed bytes of ``value``, a byte, with the identifiers and ``around`` as history."""
+    primed = zstandard.ZstdCompressor(
+        level=19, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False
+    )
+    return (len(primed.compress(value)) - len(primed.compress(b""))) / len(value)
 
 
 def _novelty(body: bytes, start: int, end: int) -> float:
     """Marginal compressed bytes of ``body[start:end]``, a byte."""
-    around = body[max(0, start - SURROUNDINGS) : start] + b"\n" + body[end : end + SURROUNDINGS]
-    primed = zstandard.ZstdCompressor(
-        level=19, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False
-    )
-    return (len(primed.compress(body[start:end])) - len(primed.compress(b""))) / (end - start)
+    return _marginal(body[start:end], body[max(0, start - SURROUNDINGS) : start] + b"\n" + body[end : end + SURROUNDINGS])
+
+
+@functools.lru_cache(4096)
+def _random_cost(alphabet: bytes, length: int) -> float:
+    """The least that some random strings take, compressed, a byte."""
+    if length > LONG:
+        return math.log2(len(alphabet)) / 8
+    r = random.Random(length)
+    return min(_marginal(bytes(r.choices(alphabet, k=length)), b"") for _ in range(SAMPLES))
+
+
+def _is_novel(body: bytes, start: int, end: int) -> bool:
+    value = body[start:end]
+    if not (re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value) and len(set(value)) >= 8):
+        return False
+    core = value.strip(b"+/_=.-") or value
+    alphabet = next((a for a in _ALPHABETS if not core.translate(None, a)), _ALPHABETS[-1])
+    novelty = _novelty(body, start, end)
+    return novelty >= NOVELTY or (novelty >= RANDOM_SHARE * math.log2(len(alphabet)) / 8 and novelty >= RANDOM_SHARE * _random_cost(alphabet, end - start))
 
 
 def base_spans(body: bytes) -> list[tuple[int, int, int]]:
@@ -73,15 +110,16 @@ def novel_spans(body: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[in
     """Incompressible strings in sensitive context that no span of ``taken`` touches."""
     found, after = [], 0
     for context in _CONTEXT.finditer(body.lower()):
-        candidate = _CANDIDATE.search(body, max(after, context.end()), context.end() + REACH + 512)
-        if not candidate or candidate.start() > context.end() + REACH:
-            continue
-        start, end = candidate.span()
-        after = end
-        value = body[start:end]
-        mixed = re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value) and len(set(value)) >= 8
-        if mixed and not any(s < end and start < e for s, _, e in taken) and _novelty(body, start, end) >= NOVELTY:
-            found.append((start, 3, end))
+        at = max(after, context.end())
+        # a candidate begins within REACH, and is as long as it is
+        while candidate := _CANDIDATE.search(body, at, max(at, context.end() + REACH + SHORTEST)):
+            start, end = _CANDIDATE.match(body, candidate.start()).span()
+            at = after = end
+            inner = start + body[start:end].rstrip(b"=").rfind(b"=") + 1
+            for begin in sorted({start, inner}):
+                if end - begin >= SHORTEST and not any(s < end and begin < e for s, _, e in taken) and _is_novel(body, begin, end):
+                    found.append((begin, 3, end))
+                    break
     return found
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from vellum.llm import components, exact_dedup, minhash
@@ -58,7 +59,7 @@ def brute_sets(rows):
     return sets
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets = brute_sets(rows)
     parent = {d: d for d in sets}
 
@@ -70,7 +71,7 @@ def brute_near(rows):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -101,15 +102,103 @@ def near_corpus(seed, groups=(60, 30, 4, 2), words=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80)])
+def test_near_matches_brute_force(spark, seed, percent):
     rows = near_corpus(seed)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    want = brute_near(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=percent).collect()
+    want = brute_near(rows, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def loose_group(n, seed):
+    """Copies of one text, of copies of it and of two texts that share a half with it, with edits of new and of known words, many of them too many for a link."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(90)]
+    starts = [base, base[:45] + [f"c{k}" for k in range(45)], base[45:] + [f"d{k}" for k in range(40)]]
+    rows = []
+    for d in range(n):
+        text = list(r.choices(starts[:3], [6, 1, 1])[0])
+        for _ in range(r.choice([0, 1, 1, 2, 2, 2, 3, 3, 4])):
+            at = r.randrange(len(text))
+            text[at : at + 1] = r.choice([[], [f"e{r.randrange(9)}"], [f"n{r.random()}"]])
+        if d % 60 == 0:
+            starts.append(text)
+        if len(starts) > 6 and r.random() < 0.3:
+            text = list(r.choice(starts[3:]))
+            text[r.randrange(len(text))] = f"m{r.randrange(4)}"
+        rows.append((d, " ".join(text)))
+    return rows
+
+
+def fast_components(rows, percent):
+    """As :func:`brute_near`, by counting shared shingles through lists of documents."""
+    sets = brute_sets(rows)
+    ids = sorted(sets)
+    posts = {}
+    for k, d in enumerate(ids):
+        for x in sets[d]:
+            posts.setdefault(x, []).append(k)
+    sizes = np.array([len(sets[d]) for d in ids])
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, d in enumerate(ids):
+        shared = np.bincount(np.concatenate([posts[x] for x in sets[d]]), minlength=len(ids)) if sets[d] else np.zeros(len(ids))
+        for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes + sizes[k] - shared))):
+            x, y = find(k), find(int(j))
+            parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), ids[find(k)]) for k, d in enumerate(ids)}
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(3, 85), (4, 80)])
+def test_near_large_loose_group(spark, seed, percent):
+    rows = loose_group(2000, seed)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent).collect()
+    want = fast_components(rows, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 50
+
+
+def test_near_postings_stay_in_proportion(spark, monkeypatch):
+    """Twice the members of a loose group make about twice the rows of each round, not four times."""
+    made = {}
+    for n in (700, 1400):
+        rounds = []
+        monkeypatch.setattr(minhash, "_meetings", lambda members, percent, f=minhash._meetings, rounds=rounds: (rounds.append(members.count()), f(members, percent))[1])
+        minhash.near_duplicates(spark.createDataFrame(loose_group(n, 5), "doc_id long, text string").repartition(4), percent=85).count()
+        monkeypatch.undo()
+        made[n] = sum(rounds)
+    assert made[1400] < 3 * made[700], made
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, minhash.drop_near_duplicates])
+def test_drops_tell_rows_apart_by_text(spark, drop):
+    """Ids repeat, are null or clash with nothing that the operator adds; rows go by what they hold."""
+    schema = "doc_id long, text string, `key` string, row int, rank int, `__lost` long, `a.b` int, component long"
+    more = ("k", 1, 2, 3, 4, 5)
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "ab cd ef gh ij kl"), (2, "x y z u v w"), (2, "ab cd ef gh ij kl"), (None, "x y z u v w"), (None, "only null ids here now ok"), (None, "only null ids here now ok"), (5, long), (5, long), (4, long), (6, "r " * 50000)]
+    got = drop(spark.createDataFrame([(*r, *more) for r in rows], schema).repartition(3))
+    assert got.columns == [c.strip("`") for c in "doc_id text key row rank __lost a.b component".split()]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, rows[0][1]), (2, rows[1][1]), (None, rows[4][1]), (4, long), (6, rows[9][1])], key=repr)
+    assert drop(spark.createDataFrame([], schema)).collect() == []
+    empty = drop(spark.createDataFrame([(1, None, *more), (2, "", *more), (3, " \n", *more)], schema)).collect()
+    assert len(empty) == (1 if drop is exact_dedup.drop_copies else 3)
+
+
+def test_near_ids_that_repeat_with_other_texts(spark):
+    long = [f"w{k}" for k in range(80)]
+    rows = [(3, " ".join(long)), (3, "quite another text than that one"), (2, " ".join([*long[:79], "x"])), (1, "quite another text than that other one")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 3, 1), (2, 76, 2), (3, 2, 3), (3, 76, 2)]
+
+
 def test_near_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words here"), (None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()

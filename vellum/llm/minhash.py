@@ -1,53 +1,71 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 A signature has 64 coordinates, and each (coordinate, value) pair is a token under which documents are posted. Two
-documents with a similarity of 0.85 agree on about 54 coordinates and on fewer than 40 once in a million pairs, so 40
-is the match threshold. A pair with 40 of 64 tokens in common shares one of the first 25 tokens of either document in
-any common order of tokens; with frequent tokens last (a fixed-size count sketch gives the order) only those 25 are
-merged, and the long lists behind them are skipped and merely counted when a pair is met.
-
-A list of more than ``SMALL`` documents, as large groups of copies make it, elects a leader and gives one pair per
-member. What two members could still have in common is then sought among their differences from the leader: members i and
-j with |i - j| <= D (symmetric differences, D from the similarity) are both linked to the leader, or share one of the
-first D + 1 elements of their differences; before such a pair is made, what its two differences have in common among their
-first ``HEAD`` elements must allow a link. A shorter list gives its pairs. Pairs that links found before have joined are
-left out as they are made, so no group is held in one task and no group emits all its pairs. Every link is confirmed on
-the full shingle sets; these are built where the texts are read, for documents that a bit map of fixed size lets through.
+documents at the wanted similarity agree on fewer coordinates than the match threshold a few times in a million pairs (40 of 64 for a
+similarity of 0.85). A pair with that many tokens in common shares one of the first ``64 - threshold + 1`` tokens of either
+document in any common order of tokens; with frequent tokens last (a fixed-size count sketch gives the order) only that
+prefix is merged, and the long lists behind it are skipped and merely counted when a pair is met.
+
+A list of at most ``SMALL`` documents gives its pairs. A longer one, as large groups of copies make it, takes a leader, the
+one that most of its documents share with other lists, and gives one pair per member. Members that the leader's links and
+what else is known put into one component need nothing more. For the others, say i and j with |i - j| <= D (symmetric
+differences, D from the similarity) of which one is not linked to the leader: their differences from the leader share an
+element, and in any common order of elements the first that they share stands at places p and q with
+p + q + |(|di| - p) - (|dj| - q)| <= D. So each difference is posted under its first D + 1 elements, rare ones first, elements
+that no other member has are left out, and so are lists of one component. Short lists of an element give pairs, long ones
+are stars again, with a leader of their own and fewer members, until none is left. No group is held in one task, no group
+emits all its pairs, and each round emits rows in proportion to its members.
+
+Every link is confirmed on the full shingle sets; these are built where the texts are read, for documents that a bit map of
+fixed size lets through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bound_batches, cut_lineage, text_or_empty, texts_of, written
+from vellum.llm.common import WHITE, bound_batches, cut_lineage, text_or_empty, texts_of, written
 from vellum.llm.components import components
 from vellum.llm.shingles import digest, mix, shingle_set, words
 
 COORDINATES = 64
-MATCHES = 40
-PREFIX = COORDINATES - MATCHES + 1
-#: Similarity, as hundredths of the union that the intersection must reach.
-PERCENT = 85
+#: Similarity, as hundredths of the union that the intersection must reach, where a caller names none.
+PERCENT = 80
+#: Chance that a pair at the wanted similarity agrees on fewer coordinates than the match threshold, at most.
+MISS = 4e-6
 #: Longest posting list that gives all its pairs.
 SMALL = 16
-#: Counters of the token sketch; it only orders tokens, so collisions cost time and never a link.
+#: Counters of the sketches of tokens and elements; they only order them, so collisions cost time and never a link.
 SKETCH_BITS = 20
-#: Elements of a difference that are looked at before a pair of members is made; fewer would only let more pairs through.
-HEAD = 64
 #: Bits of the map that tells which documents may need their shingle set; a set bit is confirmed by a join.
 MAP_BITS = 26
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 4096
 
 
+@functools.cache
+def matches(percent: int) -> int:
+    """Coordinates that a pair at ``percent`` agrees on, but for a chance of ``MISS``."""
+    chance, fewer = percent / 100, 0.0
+    for m in range(COORDINATES):
+        fewer += math.comb(COORDINATES, m) * chance**m * (1 - chance) ** (COORDINATES - m)
+        if fewer > MISS:
+            return m
+    return COORDINATES
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One 64-bit token for each coordinate; it names the coordinate and its value."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -81,28 +99,28 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(2**SKETCH_BITS, np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            total += np.bincount(_bucket(_matrix(batch.column("signature"))).ravel(), minlength=len(total))
-    there = np.flatnonzero(total)
-    for at in range(0, len(there), 100_000):
-        some = there[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+def _sketch(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How often the tokens of the batches of ``df`` occur, by bucket; at most 2^20 numbers reach the driver, whatever the input."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2**SKETCH_BITS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_bucket(tokens_of(batch)), minlength=len(total))
+        there = np.flatnonzero(total)
+        for at in range(0, len(there), 100_000):
+            some = there[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-def _sketch(classes: DataFrame) -> np.ndarray:
-    """How often tokens occur, by bucket; at most 2^20 numbers reach the driver, whatever the input."""
-    counts = classes.select("signature").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = df.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2**SKETCH_BITS, np.int64)
     out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     return out
 
 
-def _post(classes: DataFrame) -> DataFrame:
-    """(token, rep, weight): each document under its first ``PREFIX`` tokens; weight is high where tokens are common."""
-    sketch = classes.sparkSession.sparkContext.broadcast(_sketch(classes))
+def _post(classes: DataFrame, prefix: int) -> DataFrame:
+    """(token, node, weight): each document under its first ``prefix`` tokens; weight is high where tokens are common."""
+    sketch = classes.sparkSession.sparkContext.broadcast(_sketch(classes.select("signature"), lambda batch: _matrix(batch.column("signature")).ravel()))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
@@ -111,88 +129,95 @@ def _post(classes: DataFrame) -> DataFrame:
                 continue
             tokens = _matrix(batch.column("signature"))
             freq = often[_bucket(tokens)]
-            order = np.argsort((freq.astype(np.uint64) << np.uint64(20)) | (tokens & np.uint64(0xFFFFF)), axis=1, kind="stable")[:, :PREFIX]
+            order = np.argsort((freq.astype(np.uint64) << np.uint64(20)) | (tokens & np.uint64(0xFFFFF)), axis=1, kind="stable")[:, :prefix]
             tokens, near = np.take_along_axis(tokens, order, 1), np.take_along_axis(freq, order, 1)
             weight = np.minimum(freq.sum(axis=1), 2**46) * 65536 + (tokens[:, 0] & np.uint64(0xFFFF)).astype(np.int64)
             shared = near.ravel() > 1
-            rows = np.repeat(np.arange(batch.num_rows), PREFIX)[shared]
+            rows = np.repeat(np.arange(batch.num_rows), prefix)[shared]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.ravel()[shared].view(np.int64)), batch.column("rep").take(pa.array(rows)), pa.array(weight[rows])], names=["token", "rep", "weight"]
+                [pa.array(tokens.ravel()[shared].view(np.int64)), batch.column("node").take(pa.array(rows)), pa.array(weight[rows])], names=["token", "node", "weight"]
             )
 
-    return classes.select("rep", "signature").mapInArrow(post, "token long, rep long, weight long")
+    return classes.select("node", "signature").mapInArrow(post, "token long, node long, weight long")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
+def _lists(classes: DataFrame, prefix: int) -> DataFrame:
     """The postings with the length and the leader of their list."""
-    posted = _post(classes)
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("rep", "weight").alias("leader")).where("n > 1")
-    return posted.select("token", "rep").join(lists, "token")
+    posted = _post(classes, prefix)
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "weight").alias("leader")).where("n > 1")
+    return posted.select("token", "node").join(lists, "token")
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """(a, b): the leader of each long list with its members. Lists that share members share a leader, the one with most of them, so a member has few."""
+    large = lists.where(F.col("n") > SMALL).select("token", "node", "leader")
+    led = large.select("leader", "node").distinct()
+    followers = led.groupBy("leader").agg(F.count(F.lit(1)).alias("followers"))
+    first = led.join(followers, "leader").groupBy("node").agg(F.max(F.struct("followers", "leader")).alias("first"))
+    chosen = large.join(first, "node").groupBy("token").agg(F.max("first").alias("first")).select("token", F.col("first.leader").alias("a"))
+    return large.select("token", F.col("node").alias("b")).join(chosen, "token").where("a <> b").select("a", "b").distinct()
 
 
 def _small_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs within short lists that ``comps`` (node, component) has not joined yet."""
-    known = lists.where(F.col("n") <= SMALL).join(comps, F.col("rep") == F.col("node"), "left").select("token", F.struct("rep", F.coalesce("component", "rep").alias("comp")).alias("x"))
+    known = lists.where(F.col("n") <= SMALL).join(comps, "node", "left").select("token", F.struct("node", F.coalesce("component", "node").alias("comp")).alias("x"))
     members = known.groupBy("token").agg(F.sort_array(F.collect_set("x")).alias("xs"))
     members = members.where(F.size(F.array_distinct(F.col("xs.comp"))) > 1)
-    later = F.filter("xs", lambda y: (y["rep"] > F.col("x.rep")) & (y["comp"] != F.col("x.comp")))
-    pairs = members.select("xs", F.explode("xs").alias("x")).select(F.col("x.rep").alias("a"), F.explode(later).alias("y"))
-    return pairs.select("a", F.col("y.rep").alias("b")).distinct()
+    later = F.filter("xs", lambda y: (y["node"] > F.col("x.node")) & (y["comp"] != F.col("x.comp")))
+    pairs = members.select("xs", F.explode("xs").alias("x")).select(F.col("x.node").alias("a"), F.explode(later).alias("y"))
+    return pairs.select("a", F.col("y.node").alias("b")).distinct()
 
 
-def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree on at least ``MATCHES`` coordinates."""
+def _agree(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs whose signatures agree on at least ``least`` coordinates."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1) >= MATCHES
+                same = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    left, right = (classes.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    left, right = (classes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long")
 
 
-def _most(size: np.ndarray | int) -> int:
+def _most(size: np.ndarray | int, percent: int) -> int:
     """Largest symmetric difference of linked sets whose sizes sum to ``size``."""
-    return size * (100 - PERCENT) // (100 + PERCENT)
+    return size * (100 - percent) // (100 + percent)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
-    """a, b, linked; for a star (a is the leader) also n (size of b's set), n_delta and the first elements of its difference from a's."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, star: bool) -> DataFrame:
+    """a, b, linked; for a star (a is the leader) also n (size of b's set) and delta, the symmetric difference of both sets."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, sizes, deltas, heads = [], [], [], []
+            linked, sizes, deltas = [], [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = np.intersect1d(left, right, assume_unique=True)
-                union = len(left) + len(right) - len(common)
-                linked.append(100 * len(common) >= PERCENT * union)
                 if star:
-                    # what the leader lacks comes first, as it is rarer among members: negative codes, then the others
-                    added, lost = ((np.setdiff1d(x, common, assume_unique=True) >> np.uint64(1)).view(np.int64) for x in (right, left))
-                    delta = np.sort(np.concatenate([added | np.int64(-(2**63)), lost]))
+                    delta = np.setxor1d(left, right, assume_unique=True)
+                    common = (len(left) + len(right) - len(delta)) // 2
                     sizes.append(len(right))
-                    deltas.append(len(delta))
-                    heads.append(delta[: _most(len(right) + 100 * len(right) // PERCENT) + 1])
+                    deltas.append(delta.tobytes())
+                else:
+                    common = len(np.intersect1d(left, right, assume_unique=True))
+                linked.append(100 * common >= percent * (len(left) + len(right) - common))
             out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
             if star:
-                out += [pa.array(sizes, pa.int64()), pa.array(deltas, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n", "n_delta", "delta"][: len(out)])
+                out += [pa.array(sizes, pa.int64()), pa.array(deltas, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n", "delta"][: len(out)])
 
-    left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    schema = "a long, b long, linked boolean" + ", n long, n_delta long, delta array<long>" * star
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, schema)
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long, linked boolean" + ", n long, delta binary" * star)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def _map_of(reps: DataFrame) -> np.ndarray:
-    """The bit map of ``reps``: at most 2^20 words of 64 bits reach the driver, whatever the input."""
-    slots = reps.select(_slot("rep").alias("slot"))
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """The bit map of ``ids``: at most 2^20 words of 64 bits reach the driver, whatever the input."""
+    slots = ids.select(_slot("rep").alias("slot"))
     rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
@@ -203,9 +228,10 @@ def _slot(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(2**MAP_BITS))
 
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Full shingle sets of the documents in ``reps``. Texts are not shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_map_of(reps))
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): full shingle sets of ``nodes``. Texts are not shuffled."""
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "rep", "digest"))
+    bits = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words64 = bits.value
@@ -214,71 +240,149 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((words64[slot >> 6] >> (slot & 63)) & 1 == 1))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [shingle_set(words(text)).tobytes() for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "shingles"])
+                found = [words(text) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([digest(x) for x in found], pa.binary()), pa.array([shingle_set(x).tobytes() for x in found], pa.binary())], names=["rep", "digest", "shingles"]
+                )
+
+    built = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(build, "rep long, digest binary, shingles binary")
+    return built.join(wanted, ["rep", "digest"]).select("node", "shingles").dropDuplicates(["node"])
+
+
+def _open_members(told: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of stars whose members are in more than one component so far, with their component."""
+    named = told.join(comps, told["b"] == comps["node"], "left").select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked", "n", "delta", F.coalesce("component", "b").alias("comp"))
+    unsettled = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("leader")
+    return named.join(unsettled, "leader", "left_semi")
+
+
+def _element_tokens(batch: pa.RecordBatch) -> np.ndarray:
+    """A token for each (leader, element of a difference), row after row."""
+    deltas = batch.column("delta").to_pylist()
+    leaders = np.repeat(batch.column("leader").to_numpy().view(np.uint64), [len(d) // 8 for d in deltas])
+    return mix(np.frombuffer(b"".join(deltas), np.uint64) + leaders * _ODD)
+
+
+def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
+    """leader, element, at (place in the member's difference, rare elements first), and what is known of the member; elements that only one member has are left out."""
+    sketch = members.sparkSession.sparkContext.broadcast(_sketch(members.select("leader", "delta"), _element_tokens))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sketch.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = _element_tokens(batch)
+            freq = often[_bucket(tokens)]
+            rows, places, found, begin = [], [], [], 0
+            for row, (delta, n) in enumerate(zip(batch.column("delta"), batch.column("n").to_pylist(), strict=True)):
+                end = begin + len(delta.as_buffer()) // 8
+                order = np.lexsort((tokens[begin:end], freq[begin:end]))[: _most(n + 100 * n // percent, percent) + 1]
+                at = np.flatnonzero(freq[begin:end][order] > 1)
+                rows.append(np.full(len(at), row))
+                places.append(at)
+                found.append(tokens[begin:end][order[at]])
+                begin = end
+            rows = np.concatenate(rows)
+            sizes = np.array([len(d.as_buffer()) // 8 for d in batch.column("delta")], np.int64)
+            taken = batch.select(["leader", "member", "linked", "n", "comp"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(sizes[rows]), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64))],
+                names=["leader", "member", "linked", "n", "comp", "n_delta", "at", "element"],
+            )
 
-    built = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(build, "rep long, shingles binary")
-    return built.join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+    return members.mapInArrow(post, "leader long, member long, linked boolean, n long, comp long, n_delta long, at long, element long")
 
 
-def _among_members(stars: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of members of one star that its leader does not settle: not linked to it both, and not in one component yet."""
-    head = F.slice("delta", 1, HEAD)
-    known_to = F.when(F.col("n_delta") > F.size(head), F.element_at(head, -1)).otherwise(F.lit(2**63 - 1))
-    members = stars.join(comps, stars["b"] == comps["node"], "left").select(
-        F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", "n", "n_delta", F.coalesce("component", "b").alias("comp"), head.alias("head"), F.size(head).alias("n_head"), known_to.alias("known_to"),
-        F.posexplode("delta").alias("at", "element"),
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Postings of elements that can still make a link, with the length and the leader of their list."""
+    posted = _shared_elements(members, percent)
+    keys = ["leader", "element"]
+    lists = posted.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("many"), F.min("at").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled"),
+        F.min_by("member", F.col("n_delta") * 2**32 + F.pmod("member", F.lit(2**32))).alias("next_leader"),
     )
-    x, y = members.alias("x"), members.alias("y")
-    both = F.col("x.n") + F.col("y.n")
-    fits = lambda apart: apart * (100 + PERCENT) <= both * (100 - PERCENT)
-    rest = F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at")))
-    # up to the smaller end of two cut heads, all elements of both differences are known; whole heads tell exactly
-    common = F.size(F.array_intersect("x.head", "y.head"))
-    last = F.least("x.known_to", "y.known_to")
-    before = lambda m: F.array_position(F.sort_array(F.array_append(f"{m}.head", last)), last) - 1 + F.array_contains(f"{m}.head", last).cast("int")
-    upto = lambda m: F.when(F.col(f"{m}.known_to") == last, F.col(f"{m}.n_head")).otherwise(before(m))
-    cut_apart = upto("x") + upto("y") - 2 * common + F.abs((F.col("x.n_delta") - upto("x")) - (F.col("y.n_delta") - upto("y")))
-    whole = (F.col("x.n_delta") <= F.col("x.n_head")) & (F.col("y.n_delta") <= F.col("y.n_head"))
-    met = (
-        (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-        & ~(F.col("x.linked") & F.col("y.linked")) & fits(F.col("x.at") + F.col("y.at") + rest) & F.when(whole, fits(F.col("x.n_delta") + F.col("y.n_delta") - 2 * common)).otherwise(fits(cut_apart))
+    lists = lists.where("low < high and not settled").drop("low", "high", "settled")
+    apart = F.col("at") + F.col("first")
+    return posted.join(lists, keys).where(apart * (100 + percent) <= (F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent))
+
+
+def _pairs_that_met(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs in short lists of elements that can be links, going by where the element stands in both differences."""
+    x, y = met.where(F.col("many") <= SMALL).alias("x"), met.where(F.col("many") <= SMALL).alias("y")
+    apart = F.col("x.at") + F.col("y.at") + F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at")))
+    can = (
+        (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.comp") != F.col("y.comp"))
+        & ~(F.col("x.linked") & F.col("y.linked")) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     )
-    return x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return x.join(y, can).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")).distinct()
+
+
+def _linked_nodes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that links reach."""
+    lists = written(_lists(classes, COORDINATES - matches(percent) + 1))
+    stars = cut_lineage(_stars(lists))
+    comps = docs.sparkSession.createDataFrame([], "node long, component long")
+    met_pairs: list[DataFrame] = []
+    sets = cut_lineage(_sets(docs, classes, _ends(stars)))
+    while not stars.isEmpty():  # each round's stars have fewer members than the round's before
+        told = cut_lineage(_confirm(stars, sets, percent, star=True))
+        comps = components(told.where("linked").select("a", "b").union(comps))
+        met = written(_meetings(cut_lineage(_open_members(told, comps)), percent))
+        met_pairs.append(_pairs_that_met(met, percent))
+        stars = cut_lineage(met.where((F.col("many") > SMALL) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct())
+    pairs = cut_lineage(_agree(reduce(DataFrame.union, [_small_pairs(lists, comps), *met_pairs]).distinct(), classes, matches(percent)))
+    more = cut_lineage(_sets(docs, classes, _ends(pairs).join(sets, "node", "left_anti")))
+    links = _confirm(pairs, sets.union(more), percent, star=False).where("linked").select("a", "b")
+    return components(links.union(comps))
+
+
+def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the digest of their words, and the classes of equal digests: digest, rep (smallest id), component_id, component (of classes that links join)."""
+    bound_batches(rows.sparkSession)
+    signed = written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, signature binary"))
+    words_only = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    classes = words_only.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut_lineage(_linked_nodes(rows, classes, percent).join(classes.select("node", "rep"), "node"))
+    least = nodes.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+    named = nodes.join(least, "component").select("node", F.col("least.rep").alias("component_id"), (F.col("least.node") == F.col("node")).alias("first"))
+    named = classes.select("node", "digest", "rep").join(named, "node", "left")
+    return signed, named.select("digest", "rep", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Documents whose sets of 5-word shingles have 100 * intersection >= 85 * union are linked; component_id is the
+    Documents whose sets of 5-word shingles have 100 * intersection >= percent * union are linked; component_id is the
     smallest id that links reach, the own id included, and the document with that id is kept.
 
     Defined cases: a null text is empty; a text without words has no shingles, is linked with nothing and is kept; fewer
     than five words make one shingle. Equal word sequences are one class and are compared once. A row with a null id can
-    join the component of a class that has ids, and has a null component_id otherwise. Rows that repeat an id must repeat
-    its text; they share a component. An empty table gives an empty result. Other columns are ignored.
+    join the component of a class that has ids, and has a null component_id otherwise. Rows that repeat an id are linked
+    by their own texts. An empty table gives an empty result. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, signature binary"))
-    words_only = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(words_only.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
-    lists = written(_lists(classes))
-    stars = lists.where((F.col("n") > SMALL) & (F.col("rep") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = cut_lineage(_sets(rows, _ends(stars)))
-    told = cut_lineage(_confirm(stars, sets, star=True))
-    comps = components(told.where("linked"))
-    pairs = cut_lineage(_agree(_small_pairs(lists, comps), classes).union(_among_members(told, comps)).distinct())
-    more = cut_lineage(_sets(rows, _ends(pairs).join(sets, "rep", "left_anti")))
-    links = _confirm(pairs, sets.union(more), star=False).where("linked").select("a", "b")
-    comps = components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")
+    signed, classes = _classes(rows, percent)
+    own = F.coalesce("component_id", "doc_id")
+    return signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "component_id"), "digest", "left").select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; columns stay."""
-    lost = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, docs[id_col].cast("long") == F.col("__lost"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each component of near copies, the one with the smallest id; columns and their order stay.
+
+    Rows are told apart by their words, never by their id. Defined cases: rows without words (null, empty or white texts)
+    all stay; of rows with equal words one stays, the smallest id, then the smallest text, a null id only where no other row has
+    one; rows that share an id and differ in words stay both unless they are near copies; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    lost = _classes(rows, percent)[1].where(~F.col("first")).select(F.hex("digest").alias("key"))
+    text = text_or_empty(text_col)
+    plain = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    row, rank = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns))), F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), text)
+    worded = F.length(F.translate(text, WHITE, "")) > 0
+    folded = docs.where(worded).select(F.upper(F.md5(plain)).alias("key"), row.alias("row"), rank.alias("rank")).groupBy("key").agg(F.min_by("row", "rank").alias("row"))
+    kept = folded.join(lost, "key", "left_anti").select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return kept.union(docs.where(~worded))

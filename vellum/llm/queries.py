@@ -46,7 +46,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

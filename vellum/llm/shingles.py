@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 
@@ -41,5 +43,5 @@ def shingle_set(found: list[bytes]) -> np.ndarray:
 
 
 def digest(found: list[bytes]) -> bytes:
-    """128-bit hash of the sequence of words."""
-    return xxhash.xxh3_128_digest(b" ".join(found))
+    """MD5 of the sequence of words, which Spark can compute too."""
+    return hashlib.md5(b" ".join(found), usedforsecurity=False).digest()

@@ -12,9 +12,10 @@ what else is known put into one component need nothing more. For the others, say
 differences, D from the similarity) of which one is not linked to the leader: their differences from the leader share an
 element, and in any common order of elements the first that they share stands at places p and q with
 p + q + |(|di| - p) - (|dj| - q)| <= D. So each difference is posted under its first D + 1 elements, rare ones first, elements
-that no other member has are left out, and so are lists of one component. Short lists of an element give pairs, long ones
-are stars again, with a leader of their own and fewer members, until none is left. No group is held in one task, no group
-emits all its pairs, and each round emits rows in proportion to its members.
+that no other member has are left out, and so are lists of one component. Short lists of an element give pairs, where a bit
+map of both differences lets them be links; long ones are stars again, with a leader of their own and fewer members, until
+none is left. What counts as short grows by the round up to a bound, as dense groups are joined in the first rounds. No group
+is held in one task, no group emits all its pairs, and each round emits rows in proportion to its members.
 
 Every link is confirmed on the full shingle sets; these are built where the texts are read, for documents that a bit map of
 fixed size lets through.
@@ -41,8 +42,11 @@ COORDINATES = 64
 PERCENT = 80
 #: Chance that a pair at the wanted similarity agrees on fewer coordinates than the match threshold, at most.
 MISS = 4e-6
-#: Longest posting list that gives all its pairs.
+#: Longest posting list that gives all its pairs, and longest list of an element that does: in the first round, from one to the next, and at most.
 SMALL = 16
+MEET_FIRST, MEET_GROWTH, MEET_MOST = 16, 4, 1024
+#: 64-bit words of the bit map of a difference; two maps differ in no more bits than their differences do in elements.
+MAP_WORDS = 4
 #: Counters of the sketches of tokens and elements; they only order them, so collisions cost time and never a link.
 SKETCH_BITS = 20
 #: Bits of the map that tells which documents may need their shingle set; a set bit is confirmed by a join.
@@ -275,6 +279,7 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
             tokens = _element_tokens(batch)
             freq = often[_bucket(tokens)]
             rows, places, found, begin = [], [], [], 0
+            maps = np.zeros((batch.num_rows, MAP_WORDS * 64), bool)
             for row, (delta, n) in enumerate(zip(batch.column("delta"), batch.column("n").to_pylist(), strict=True)):
                 end = begin + len(delta.as_buffer()) // 8
                 order = np.lexsort((tokens[begin:end], freq[begin:end]))[: _most(n + 100 * n // percent, percent) + 1]
@@ -282,16 +287,19 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
                 rows.append(np.full(len(at), row))
                 places.append(at)
                 found.append(tokens[begin:end][order[at]])
+                maps[row, (tokens[begin:end] & np.uint64(MAP_WORDS * 64 - 1)).astype(np.int64)] = True
                 begin = end
             rows = np.concatenate(rows)
             sizes = np.array([len(d.as_buffer()) // 8 for d in batch.column("delta")], np.int64)
             taken = batch.select(["leader", "member", "linked", "n", "comp"]).take(pa.array(rows))
+            bits = np.packbits(maps, axis=1).view(np.int64)[rows]
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(sizes[rows]), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64))],
-                names=["leader", "member", "linked", "n", "comp", "n_delta", "at", "element"],
+                [*taken.columns, pa.array(sizes[rows]), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(MAP_WORDS))],
+                names=["leader", "member", "linked", "n", "comp", "n_delta", "at", "element", *(f"map{k}" for k in range(MAP_WORDS))],
             )
 
-    return members.mapInArrow(post, "leader long, member long, linked boolean, n long, comp long, n_delta long, at long, element long")
+    maps_schema = "".join(f", map{k} long" for k in range(MAP_WORDS))
+    return members.mapInArrow(post, "leader long, member long, linked boolean, n long, comp long, n_delta long, at long, element long" + maps_schema)
 
 
 def _meetings(members: DataFrame, percent: int) -> DataFrame:
@@ -308,9 +316,12 @@ def _meetings(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_that_met(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs in short lists of elements that can be links, going by where the element stands in both differences."""
-    x, y = met.where(F.col("many") <= SMALL).alias("x"), met.where(F.col("many") <= SMALL).alias("y")
-    apart = F.col("x.at") + F.col("y.at") + F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at")))
+    """Pairs in lists of elements that can be links, going by where the element stands in both differences and by their bit maps."""
+    x, y = met.alias("x"), met.alias("y")
+    apart = F.greatest(
+        F.col("x.at") + F.col("y.at") + F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at"))),
+        reduce(Column.__add__, (F.bit_count(F.col(f"x.map{k}").bitwiseXOR(F.col(f"y.map{k}"))).cast("long") for k in range(MAP_WORDS))),
+    )
     can = (
         (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.comp") != F.col("y.comp"))
         & ~(F.col("x.linked") & F.col("y.linked")) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
@@ -325,12 +336,14 @@ def _linked_nodes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     comps = docs.sparkSession.createDataFrame([], "node long, component long")
     met_pairs: list[DataFrame] = []
     sets = cut_lineage(_sets(docs, classes, _ends(stars)))
-    while not stars.isEmpty():  # each round's stars have fewer members than the round's before
+    short = MEET_FIRST
+    while not stars.isEmpty():  # a star has fewer members than the one of the round before that it is part of
         told = cut_lineage(_confirm(stars, sets, percent, star=True))
         comps = components(told.where("linked").select("a", "b").union(comps))
         met = written(_meetings(cut_lineage(_open_members(told, comps)), percent))
-        met_pairs.append(_pairs_that_met(met, percent))
-        stars = cut_lineage(met.where((F.col("many") > SMALL) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct())
+        met_pairs.append(_pairs_that_met(met.where(F.col("many") <= short), percent))
+        stars = cut_lineage(met.where((F.col("many") > short) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct())
+        short = min(short * MEET_GROWTH, MEET_MOST)
     pairs = cut_lineage(_agree(reduce(DataFrame.union, [_small_pairs(lists, comps), *met_pairs]).distinct(), classes, matches(percent)))
     more = cut_lineage(_sets(docs, classes, _ends(pairs).join(sets, "node", "left_anti")))
     links = _confirm(pairs, sets.union(more), percent, star=False).where("linked").select("a", "b")

@@ -13,23 +13,26 @@ from vellum.llm.common import cut_lineage
 
 #: Rounds after which the search gives up; 2^60 nodes need fewer.
 MAX_ROUNDS = 64
+#: Edges that a task takes at least, where there are so many.
+EDGES_OF_TASK = 200_000
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, parts: int) -> DataFrame:
     """Link what ``edges`` (from, to) pairs with each ``from`` to the least of its neighbours and itself."""
     least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return edges.join(least, "a")
+    return edges.join(least, "a").coalesce(parts)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _star(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
+    return _star(both, parts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    hooked = _star(down)
-    return hooked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hooked.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    hooked = _star(down, parts)
+    both = hooked.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+    return both.where("a <> b").distinct().coalesce(parts)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -44,10 +47,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct()
     edges = cut_lineage(edges)
     before = _mark(edges)
+    parts = before[0] // EDGES_OF_TASK + 1  # few edges need few tasks; more than a shuffle has make no difference
+    edges = edges.coalesce(parts)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = cut_lineage(_small_star(_large_star(edges, parts), parts))
         now = _mark(edges)
         if now == before:
             break

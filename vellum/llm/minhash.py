@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WHITE, bound_batches, cut_lineage, text_or_empty, texts_of, written
+from vellum.llm.common import WHITE, bit_map, bits_of, bound_batches, cut_lineage, text_or_empty, texts_of, written
 from vellum.llm.components import components
 from vellum.llm.shingles import digest, mix, shingle_set, words
 
@@ -219,15 +219,6 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def _map_of(ids: DataFrame) -> np.ndarray:
-    """The bit map of ``ids``: at most 2^20 words of 64 bits reach the driver, whatever the input."""
-    slots = ids.select(_slot("rep").alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
 def _slot(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(2**MAP_BITS))
 
@@ -235,13 +226,12 @@ def _slot(name: str) -> Column:
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles): full shingle sets of ``nodes``. Texts are not shuffled."""
     wanted = written(classes.join(nodes, "node", "left_semi").select("node", "rep", "digest"))
-    bits = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, _slot("rep"), MAP_BITS))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words64 = bits.value
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array((words64[slot >> 6] >> (slot & 63)) & 1 == 1))
+            batch = batch.filter(pa.array(bits_of(words64, batch.column("slot").to_numpy())))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [words(text) for text in part.column("text").to_pylist()]
@@ -256,7 +246,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
 def _open_members(told: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of stars whose members are in more than one component so far, with their component."""
     named = told.join(comps, told["b"] == comps["node"], "left").select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked", "n", "delta", F.coalesce("component", "b").alias("comp"))
-    unsettled = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("leader")
+    unsettled = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled")).where("low < high and not settled").select("leader")
     return named.join(unsettled, "leader", "left_semi")
 
 
@@ -335,19 +325,22 @@ def _linked_nodes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     stars = cut_lineage(_stars(lists))
     comps = docs.sparkSession.createDataFrame([], "node long, component long")
     met_pairs: list[DataFrame] = []
+    links: list[DataFrame] = []
     sets = cut_lineage(_sets(docs, classes, _ends(stars)))
     short = MEET_FIRST
     while not stars.isEmpty():  # a star has fewer members than the one of the round before that it is part of
         told = cut_lineage(_confirm(stars, sets, percent, star=True))
-        comps = components(told.where("linked").select("a", "b").union(comps))
+        links.append(told.where("linked").select("a", "b"))
+        if len(links) == 1:  # later rounds make few links, which their own stars know
+            comps = components(links[0])
         met = written(_meetings(cut_lineage(_open_members(told, comps)), percent))
         met_pairs.append(_pairs_that_met(met.where(F.col("many") <= short), percent))
         stars = cut_lineage(met.where((F.col("many") > short) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct())
         short = min(short * MEET_GROWTH, MEET_MOST)
     pairs = cut_lineage(_agree(reduce(DataFrame.union, [_small_pairs(lists, comps), *met_pairs]).distinct(), classes, matches(percent)))
     more = cut_lineage(_sets(docs, classes, _ends(pairs).join(sets, "node", "left_anti")))
-    links = _confirm(pairs, sets.union(more), percent, star=False).where("linked").select("a", "b")
-    return components(links.union(comps))
+    links.append(_confirm(pairs, sets.union(more), percent, star=False).where("linked").select("a", "b"))
+    return components(reduce(DataFrame.union, links))
 
 
 def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,12 @@
 """Packing by lexical retrieval: a sharded BM25 index gives each seed document neighbours that fill its window.
 
 1. Every document is tokenised once; the ids (two or four bytes each) go to the shared checkpoint folder together with
-   the number of documents that hold each id, summed per partition. These sums, over all documents, give the idf.
-2. Documents meet in shards of at most ``SHARD_TOKENS`` tokens by content alone: first by the least hash among their
-   distinct ids, and a group over the size of a shard is split by the next key of ``PATH``: least hashes of other orders of
-   the ids, the least hash of token shingles, the hash of all ids. Neighbouring groups share shards. Equal texts have equal
-   keys, so only copies of one text that overfill a shard are dealt by row. Tokens of groups are counted first, a level at
-   a time; there are no more groups than ids in the vocabulary and ``FAN`` a shard and level.
+   the number of documents that hold each id, a sum for each task. Spark adds these up over all documents; they give the idf.
+2. Documents meet in shards by content alone: they are range partitioned and sorted by a path of content keys, the least
+   hashes of their distinct ids in some orders, the least hash of their token shingles, and the hash of all ids. So documents
+   that share rare keys are neighbours. A task cuts its sorted run into shards of ``SHARD_TOKENS`` tokens, from
+   three quarters of that on where the coarse keys change. Equal texts have equal keys and stay together, unless the copies
+   of one text overfill a shard: these are spread by row.
 3. Inside a shard an inverted index (ids to documents with BM25 weights) ranks the unused documents for each seed. The
    seed opens a window, neighbours fill it in order, and the document that overruns the window is cut; its rest seeds the
    next one. The last window of a shard is cut into sequences of powers of two, so nothing is padded.
@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty, written
+from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty
 from vellum.llm.shingles import mix
 
 WINDOW = 4096
@@ -37,8 +39,8 @@ MEMO_WORDS = 500_000
 #: Content keys of a document: least hashes of its ids in so many orders, then of its shingles, then the hash of all ids.
 ORDERS, SHINGLE = 4, 5
 PATH = ORDERS + 2
-#: Groups that a group over the size of a shard is split into, for each shard that it fills.
-FAN = 4
+#: Shards that a task numbers at most; its partition stands above them.
+SHARDS_OF_TASK = 2**13
 K1, B = 1.2, 0.75
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = _ODD ** np.arange(1, 2 * ORDERS, 2, dtype=np.uint64)
@@ -46,19 +48,42 @@ _ORDERS = _ODD ** np.arange(1, 2 * ORDERS, 2, dtype=np.uint64)
 #: alone. An apostrophe may not, as it belongs to what follows.
 _TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 
+#: How the files are built whose words can be encoded one by one. White space only separates words, and case is dropped.
+_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "</w>",
+)
+
 _tokenizers: dict = {}
 
 
+def _splits_at_spaces(path: str) -> bool:
+    """Whether the file is of the kind of ``_BY_WORDS`` and its special tokens hold ``<|`` and no white space."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = [token["content"] for token in spec["added_tokens"]]
+    return (spec["normalizer"], spec["pre_tokenizer"], spec["model"].get("end_of_word_suffix")) == _BY_WORDS and all("<|" in x and not re.search(r"\s", x) for x in special)
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, the same for words of letters, which ids end a word, and the memo of words; one set a worker."""
+    """The tokenizer of a file, the same for words of letters (None where words cannot stand alone), which ids end a word, and the memo of words; one set a worker."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        letters = Tokenizer(tokenizer.model)
-        letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = None
+        if _splits_at_spaces(path):
+            letters = Tokenizer(tokenizer.model)
+            letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         _tokenizers[path] = (tokenizer, letters, ends, {})
@@ -87,15 +112,17 @@ def _encode_words(tokenizer, letters, ends: np.ndarray, new: set[bytes]) -> Iter
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, and ``END_ID`` after them.
 
-    The vocabulary drops white space and case, so a text encodes as its runs without ASCII white space do, one after
-    another, in lower case; a run that the worker has met before is looked up. A tokenizer that keeps white space would
-    need whole texts here. Texts with ``<|`` keep their case, as control strings have one.
+    Where the vocabulary drops white space and case, a text encodes as its runs without ASCII white space do, one after
+    another, in lower case; a run that the worker has met before is looked up. Texts with ``<|`` keep their case, and their
+    runs stay whole, as special tokens are spelled so. A tokenizer of another kind gets whole texts.
     """
     tokenizer, letters, ends, memo = _tokenizer(path)
+    if letters is None:
+        return [np.array([*x.ids, END_ID], np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     if len(memo) > MEMO_WORDS:
         memo.clear()
     bodies = (text.encode("utf-8", "surrogatepass") for text in texts)
-    split = [_TAIL.sub(rb" \g<0>", body if b"<|" in body else body.lower()).split() for body in bodies]
+    split = [body.split() if b"<|" in body else _TAIL.sub(rb" \g<0>", body.lower()).split() for body in bodies]
     memo.update(_encode_words(tokenizer, letters, ends, set().union(*split).difference(memo)))
     last = END_ID.to_bytes(4, "little")
     return [np.frombuffer(b"".join([*map(memo.__getitem__, found), last]), np.uint32) for found in split]
@@ -131,17 +158,12 @@ def _paths(documents: list[np.ndarray], owner: np.ndarray, ids: np.ndarray) -> n
 
 
 def _tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n, path (content keys) of each row, and rows with ``df`` alone: document counts of ids, summed over a partition."""
+    """doc_id, ids, n, path (content keys) of each row, and rows with ``term`` and ``df`` alone: document counts of ids, summed over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(_tokenizer(path)[2])
         df = np.zeros(size, np.int64)
-
-        def out(doc_ids, ids, n, paths, counts) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "ids", "n", "path", "df"]
-            )
-
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("path", pa.list_(pa.int64())), ("term", pa.int64()), ("df", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -149,10 +171,15 @@ def _tokenise(docs: DataFrame, path: str) -> DataFrame:
                 owner, ids, _ = _distinct(coded, size)
                 df += np.bincount(ids, minlength=size)
                 narrow = [(b"2" + x.astype(np.uint16).tobytes()) if x.max() < 65536 else (b"4" + x.tobytes()) for x in coded]
-                yield out(part.column("doc_id"), narrow, [len(x) for x in coded], list(_paths(coded, owner, ids)), [None] * len(coded))
-        yield out(pa.array([None], pa.int64()), [None], [0], [None], [df.tobytes()])
+                none = pa.nulls(len(coded), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(narrow, pa.binary()), pa.array([len(x) for x in coded], pa.int64()), pa.array(list(_paths(coded, owner, ids)), pa.list_(pa.int64())), none, none], schema=schema
+                )
+        there = np.flatnonzero(df)
+        nulls = [pa.nulls(len(there), field.type) for field in list(schema)[:4]]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(there), pa.array(df[there])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, n long, path array<long>, df binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary, n long, path array<long>, term long, df long")
 
 
 def _ids(cell: bytes) -> np.ndarray:
@@ -160,72 +187,42 @@ def _ids(cell: bytes) -> np.ndarray:
 
 
 def _document_counts(coded: DataFrame) -> np.ndarray:
-    """In how many documents each id occurs; as long as the vocabulary."""
-
-    def total(cells: list[bytes]) -> np.ndarray:
-        out = np.zeros(max((len(x) // 8 for x in cells), default=0), np.int64)
-        for cell in cells:
-            part = np.frombuffer(cell, np.int64)
-            out[: len(part)] += part
-        return out
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sum_ = np.zeros(0, np.int64)
-        for batch in batches:
-            sum_ = total([sum_.tobytes(), *batch.column("df").to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array([sum_.tobytes()], pa.binary())], names=["df"])
-
-    sums = coded.where("df IS NOT NULL").select("df").repartition(16).mapInArrow(add, "df binary").collect()
-    return total([row[0] for row in sums])
-
-
-def _split(rows: DataFrame, level: int, splits: DataFrame) -> DataFrame:
-    """``rows`` with ``part`` replaced where ``splits`` (part, parts) has it: by the one of ``parts`` that the key of ``level`` names."""
-    chosen = F.element_at("parts", (F.pmod(F.element_at("path", level + 1), F.size("parts").cast("long")) + 1).cast("int"))
-    return rows.join(F.broadcast(splits), "part", "left").withColumn("part", F.coalesce(chosen, "part")).drop("parts")
-
-
-def _fill_shards(parts: list[tuple[tuple, int, int]]) -> list[tuple[int, int, int]]:
-    """(part, first shard, shards) of (order, part, tokens): neighbours share a shard while they fit, larger ones get a run of shards."""
-    out, shard, held = [], 0, 0
-    for _, part, n in sorted(parts):
-        if held and held + n > SHARD_TOKENS:
-            shard, held = shard + 1, 0
-        run = max(-(-n // SHARD_TOKENS), 1)
-        out.append((part, shard, run))
-        shard, held = (shard, held + n) if run == 1 else (shard + run, 0)
+    """In how many documents each id occurs; at most as long as the vocabulary."""
+    sums = coded.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    terms = sums.column("term").to_numpy()
+    out = np.zeros(terms.max(initial=0) + 1, np.int64)
+    out[terms] = sums.column("df").to_numpy()
     return out
 
 
-def _shards(coded: DataFrame) -> DataFrame:
-    """doc_id, ids, n, shard of each document."""
-    spark = coded.sparkSession
-    rows = coded.where("df IS NULL").select("doc_id", "ids", "n", "path").withColumn("part", F.element_at("path", 1).bitwiseOR(F.lit(-(2**63))))  # parts of later levels are not negative
-    sizes = written(rows.select("n", "path", "part"))
-    found = sizes.groupBy("part").agg(F.sum("n").alias("n")).collect()
-    orders = {r.part: (r.part,) for r in found}
-    tokens = {r.part: r.n for r in found}
-    done, new = [], 0
-    for level in range(1, PATH):
-        large = {p: n for p, n in tokens.items() if n > SHARD_TOKENS}
-        done += [(orders[p], p, n) for p, n in tokens.items() if p not in large]
-        tokens = {}
-        if not large:
-            break
-        splits, at = [], new
-        for p, n in large.items():
-            fan = FAN * -(-n // SHARD_TOKENS)
-            splits.append((p, list(range(at, at + fan))))
-            orders |= {at + k: (*orders[p], k) for k in range(fan)}
-            at += fan
-        table = spark.createDataFrame(splits, "part long, parts array<long>")
-        rows, sizes = _split(rows, level, table), _split(sizes, level, table)
-        tokens = {r.part: r.n for r in sizes.where(F.col("part").between(new, at - 1)).groupBy("part").agg(F.sum("n").alias("n")).collect()}
-        new = at
-    done += [(orders[p], p, n) for p, n in tokens.items()]
-    runs = spark.createDataFrame(_fill_shards(done), "part long, first long, shards long")
-    deal = F.col("first") + F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.col("shards"))
-    return rows.join(F.broadcast(runs), "part").select("doc_id", "ids", "n", deal.alias("shard"))
+def _in_order(coded: DataFrame, n_tokens: int) -> DataFrame:
+    """doc_id, ids, path of each document, range partitioned and sorted by content keys; copies that overfill a shard are spread by row."""
+    rows = coded.where("term IS NULL").select("doc_id", "ids", "path", "row", "n", F.element_at("path", -1).alias("all_ids"))
+    overfull = rows.groupBy("all_ids").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > SHARD_TOKENS).select("all_ids", F.lit(True).alias("spread"))
+    keys = [F.element_at("path", k + 1).alias(f"key{k}") for k in range(PATH)]
+    salted = rows.join(overfull, "all_ids", "left").select("doc_id", "ids", "path", "row", *keys, F.when(F.col("spread"), F.col("row")).otherwise(0).alias("salt"))
+    parts = max(1, min(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // SHARD_TOKENS)))
+    order = [*(f"key{k}" for k in range(PATH)), "salt"]
+    return salted.repartitionByRange(parts, *order).sortWithinPartitions(*order, "doc_id", "row").select("doc_id", "ids", "path")
+
+
+def shards_of(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Sorted ``rows`` (path, n, ...) in runs of ``limit`` tokens: a run ends before it would pass that, unless equal texts go on, which
+    end it behind that, and from three quarters of it on where the coarse keys change."""
+    held: list[tuple] = []
+    tokens = 0
+    for row in rows:
+        path, n = row[:2]
+        if held:
+            last = held[-1][0]
+            full = tokens >= limit if path == last else tokens + n > limit
+            if full or (tokens * 4 >= limit * 3 and path[:ORDERS] != last[:ORDERS]):
+                yield held
+                held, tokens = [], 0
+        held.append(row)
+        tokens += n
+    if held:
+        yield held
 
 
 class Index:
@@ -315,31 +312,37 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Defined cases: a null or empty text is the single id 2; a row with a null id is packed under a null doc_id; rows that
     repeat an id are packed one by one; texts longer than a window fill several; an empty table gives no pieces; other
-    columns are ignored. Documents without a common scored term follow in the order of their ids.
+    columns are ignored. Documents without a common scored term follow in the order of their content keys.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    coded = cut_lineage(_tokenise(rows, tokenizer_path))
+    coded = cut_lineage(_tokenise(rows, tokenizer_path).withColumn("row", F.monotonically_increasing_id()))
     counts = _document_counts(coded)
-    n_docs, n_tokens = coded.where("df IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, n_tokens = coded.where("term IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     mean = max(n_tokens, 1) / max(n_docs, 1)
     idf = coded.sparkSession.sparkContext.broadcast(np.log1p((n_docs - counts + 0.5) / (counts + 0.5)).astype(np.float32))
 
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        documents = [_ids(x) for x in table.column("ids").to_pylist()]
-        sizes = np.array([len(x) for x in documents])
-        index = Index(documents, idf.value, mean)
-        shard = table.column("shard")[0].as_py()
-        pieces = list(cut(chain(index, sizes), documents))
-        who, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        crc = [zlib.crc32(documents[d][s : s + n].tobytes()) for d, s, n, _, _ in pieces]
-        return pa.table(
-            {
-                "doc_id": table.column("doc_id").take(pa.array(who)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
-                "doc_tokens": sizes[who], "sequence_id": sequence + (shard << 32), "offset": offset,
-            }
+    limit = SHARD_TOKENS
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() * SHARDS_OF_TASK
+        rows = (
+            (path, (len(cell) - 1) // (2 if cell[:1] == b"2" else 4), cell, doc_id)
+            for batch in batches for path, cell, doc_id in zip(*(batch.column(c).to_pylist() for c in ("path", "ids", "doc_id")), strict=True)
         )
+        for shard, held in enumerate(shards_of(rows, limit)):
+            if shard == SHARDS_OF_TASK:
+                raise RuntimeError("a task has more shards than it can number; use more shuffle partitions")
+            documents = [_ids(cell) for _, _, cell, _ in held]
+            sizes = np.array([len(x) for x in documents])
+            pieces = list(cut(chain(Index(documents, idf.value, mean), sizes), documents))
+            who, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+            crc = [zlib.crc32(documents[d][s : s + n].tobytes()) for d, s, n, _, _ in pieces]
+            ids = pa.array([doc_id for *_, doc_id in held], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(who)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[who]), pa.array(sequence + ((first + shard) << 32)), pa.array(offset)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return _shards(coded).groupBy("shard").applyInArrow(fill, schema)
+    return _in_order(coded, n_tokens).mapInArrow(fill, schema)

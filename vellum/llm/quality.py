@@ -29,7 +29,6 @@ EPOCHS = 3
 #: Step size, its smoothing, and the two penalties of the follow-the-regularised-leader update.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
 
-SCORE = "__quality_score"
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
 _SAME = np.uint64(0x5BD1E9955BD1E995)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,8 +98,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``__quality_score`` (0 to 1) of the whole text; a null text scores as an empty one, by the bias alone."""
+def with_scores(docs: DataFrame, weights: np.ndarray, score_col: str) -> DataFrame:
+    """All columns of ``docs`` and, last, the score (0 to 1) of the whole text as ``score_col``; a null text scores as an empty one, by the bias alone."""
     bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -112,10 +111,10 @@ def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 at, x = features(text)
                 sums[k] = w[at] @ x + w[-1]
             scores = pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], score_col])
 
-    shape = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
-    return docs.select("*", text_or_empty().alias(SCORE)).mapInArrow(score, shape)
+    shape = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.select("*", text_or_empty().alias(score_col)).mapInArrow(score, shape)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,10 +123,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Defined cases: null and empty texts get the score of the bias; a null id is not held out; rows that repeat an id are
     scored one by one; an empty table gives an empty result; columns other than doc_id and text are never read.
     """
-    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of at least 0.5; columns stay."""
-    return with_scores(docs, fit(docs, labels)).where(F.col(SCORE) >= 0.5).drop(SCORE)
+    """The rows of ``docs`` with a score of at least 0.5; columns stay.
+
+    Defined cases: null and empty texts are judged by the bias; each row is judged by its own text, whatever its id; an
+    empty table gives an empty result; the column of the score takes a name that no column has.
+    """
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).drop(name)

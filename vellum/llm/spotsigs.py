@@ -1,16 +1,17 @@
 """Document fingerprints: spot signatures, in DataFrame functions alone.
 
-A spot signature is a common word (the anchor) and the chain of the two content words that follow it. A document's set of
-signatures is written down as its size and its 64 smallest 32-bit hashes; sets of at most 64 are whole, of larger ones
-the smallest hashes of the union estimate the Jaccard similarity. The likeness of two fingerprints needs no other data.
+A spot signature is a common word (the anchor) and the chain of the two content words that follow it. A document's
+fingerprint is its whole set of signatures: the size and the sorted 48-bit hashes, so the likeness of two fingerprints is
+the Jaccard similarity of the sets themselves, whatever their size.
 
-The search for similar documents partitions by set length: lengths of a partition differ by less than the threshold
-allows, so a document meets its own partition and the two beside it. There it is posted under its rarest signatures only,
-as many as two sets of the wanted similarity cannot both avoid, and pairs of unfit lengths are pruned before sets meet.
+Sets are partitioned by length: lengths of a partition differ by less than the threshold allows, so a set can only be similar
+to those of its own partition and the two beside it. Pairs further apart, and pairs whose lengths alone rule it out, are
+pruned before sets are compared. The search for similar documents posts a document, in its partition, under its rarest
+signatures only, as many as two sets of the wanted similarity cannot both avoid.
 
 Next documents are found without a global sort of texts: ids alone are range partitioned, each partition finds its own
-successors, and the first id of each partition closes the gaps. Texts are shuffled once, by id; the successor sends the
-first code points that the edit needs, and nothing more, to its predecessor.
+successors, and the first id of each partition closes the gaps. Texts are shuffled once, by id; a successor sends the first
+code points that the edit needs, and its set, to its predecessor.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import cut_lineage, long_id, text_or_empty, written
 
-#: Hashes of a fingerprint.
-KEPT = 64
+#: Similarity from which documents are similar.
+THRESHOLD = 0.8
 #: Content words of a chain, and words after the anchor among which they are sought.
 CHAIN, LOOK = 2, 8
-_HEX = 8
+#: Bits of the hash of a signature, a multiple of 24, and its hexadecimal digits.
+HASH_BITS = 48
+_HEX = HASH_BITS // 4
 
 #: The common words of English, French, German and Spanish that anchor a chain.
 ANCHORS = (
@@ -48,25 +51,36 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def write_fingerprint(signs: Column) -> Column:
-    """``size:`` and the smallest hashes in order, eight hex digits each."""
-    hashes = F.sort_array(F.array_distinct(F.transform(signs, lambda s: F.substring(F.md5(s), 1, _HEX))))
-    return F.concat(F.size(signs).cast("string"), F.lit(":"), F.array_join(F.slice(hashes, 1, KEPT), ""))
+def hashes_of(signs: Column) -> Column:
+    """The set of an array of signatures: their distinct hashes in order."""
+    return F.sort_array(F.array_distinct(F.transform(signs, lambda s: F.xxhash64(s).bitwiseAND(F.lit(2**HASH_BITS - 1)))))
 
 
-def hashes_of(fingerprint: Column) -> Column:
-    """The hashes of a fingerprint, smallest first. Give the result a column of its own where it is used more than once."""
-    return F.array_remove(F.split(F.substring_index(fingerprint, ":", -1), rf"(?<=\G.{{{_HEX}}})"), "")
+def write_fingerprint(hashes: Column) -> Column:
+    """``size:`` and the hashes of a set, base64 of their bytes."""
+    return F.concat(F.size(hashes).cast("string"), F.lit(":"), F.base64(F.unhex(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), _HEX, "0")), ""))))
 
 
-def likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
-    """Jaccard similarity of two fingerprints' sets, 0 to 1, from fingerprints ``a``, ``b`` and their hashes ``x``, ``y``.
+def likeness(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two sets, 0 to 1. Two empty sets are alike."""
+    shared = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - shared
+    return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1)).cast("double"))
 
-    It is exact where both sets are whole. Two empty sets are alike.
-    """
-    least = F.slice(F.sort_array(F.array_union(x, y)), 1, KEPT)
-    shared = F.size(F.array_intersect(least, F.array_intersect(x, y)))
-    return F.when(a == b, F.lit(1.0)).otherwise(shared / F.greatest(F.size(least), F.lit(1)).cast("double"))
+
+def length_partition(n: Column, threshold: float = THRESHOLD) -> Column:
+    """The partition of sets of ``n`` signatures; -1 for empty ones. Similar sets are in the same or in neighbouring partitions."""
+    return F.when(n == 0, F.lit(-1)).otherwise(F.floor(F.log(n.cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int"))
+
+
+def fit(n: Column, m: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether sets of ``n`` and ``m`` signatures can be similar at all: neighbouring partitions, then the lengths themselves."""
+    return (F.abs(length_partition(n, threshold) - length_partition(m, threshold)) <= 1) & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9)
+
+
+def similar(x: Column, y: Column, near: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether two sets reach ``threshold``; ``near``, their likeness, is not looked at where their lengths rule it out."""
+    return F.when(fit(F.size(x), F.size(y), threshold), near >= threshold - 1e-9).otherwise(F.lit(False))
 
 
 def _successors(ids: DataFrame) -> DataFrame:
@@ -82,11 +96,11 @@ def _successors(ids: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of each row of ``docs``: the operator itself, a projection without a shuffle."""
     worded = docs.select("doc_id", words_of(text_or_empty()).alias("words"))
-    signed = worded.select("doc_id", signatures(F.col("words")).alias("signs"))
-    return signed.select("doc_id", write_fingerprint(F.col("signs")).alias("fingerprint"))
+    signed = worded.select("doc_id", hashes_of(signatures(F.col("words"))).alias("hashes"))
+    return signed.select("doc_id", write_fingerprint(F.col("hashes")).alias("fingerprint"))
 
 
-def search(docs: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(query_id, doc_id, similarity): documents whose whole signature sets reach ``threshold`` with those of ``queries`` (column doc_id).
 
     Defined cases: texts without words, null ids and ids of ``queries`` that no document has give no rows; rows that
@@ -94,18 +108,16 @@ def search(docs: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataF
     result; other columns are ignored.
     """
     worded = docs.where(F.col("doc_id").isNotNull()).select(long_id(docs), words_of(text_or_empty()).alias("words"))
-    spots = worded.select("doc_id", F.explode(signatures(F.col("words"))).alias("sign")).select("doc_id", F.xxhash64("sign").alias("sign")).distinct()
+    spots = worded.select("doc_id", F.explode(hashes_of(signatures(F.col("words")))).alias("sign")).distinct()
     often = spots.groupBy("sign").agg(F.count(F.lit(1)).alias("often"))
     ranked = spots.join(often, "sign").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "sign"))).alias("ranked"))
     n = F.size("ranked")
     needed = F.ceil(n * threshold - 1e-9).cast("int")
-    part = F.floor(F.log(n.cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
-    sets = written(ranked.select("doc_id", n.alias("n"), part.alias("part"), (n - needed + 1).alias("prefix"), F.col("ranked.sign").alias("signs")))
+    sets = written(ranked.select("doc_id", n.alias("n"), length_partition(n, threshold).alias("part"), (n - needed + 1).alias("prefix"), F.col("ranked.sign").alias("signs")))
     posted = sets.select("doc_id", "n", "part", F.explode(F.slice("signs", F.lit(1), F.col("prefix"))).alias("sign"))
     asked = posted.join(queries.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     probes = asked.select(F.col("doc_id").alias("query_id"), F.col("n").alias("query_n"), "sign", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
-    fit = (F.col("query_id") != F.col("doc_id")) & (F.least("n", "query_n") >= F.greatest("n", "query_n") * threshold - 1e-9)
-    pairs = probes.join(posted, ["sign", "part"]).where(fit).select("query_id", "doc_id").distinct()
+    pairs = probes.join(posted, ["sign", "part"]).where((F.col("query_id") != F.col("doc_id")) & fit(F.col("n"), F.col("query_n"), threshold)).select("query_id", "doc_id").distinct()
     left = sets.select(F.col("doc_id").alias("query_id"), F.col("signs").alias("query_signs"))
     met = pairs.join(left, "query_id").join(sets.select("doc_id", "signs"), "doc_id")
     shared = F.size(F.array_intersect("signs", "query_signs"))
@@ -114,40 +126,34 @@ def search(docs: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataF
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of ``docs``.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, length_partition, edited_similar, next_similar of each row of ``docs``.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many of the next document's text.
     Defined cases: a null text is empty; a text without words has an empty set; the only document follows itself; rows
     that repeat an id are edited one by one, have the same next document, and of a repeated next document the smallest
-    head and fingerprint count; a row with a null id has no next document: its text is cut only, and its near_next is 0.
+    head, then set, counts; a row with a null id has no next document: its text is cut only, and its near_next is 0.
     An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(long_id(docs), text_or_empty().alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    dealt = known.repartition("doc_id")  # the one shuffle of texts; both joins below start from it
     quarter = lambda n: F.floor(n / 4).cast("int")
     sized = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     follow = cut_lineage(_successors(sized))
     owners = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("owner"), F.col("n").alias("owner_n"))
-    heads = dealt.join(owners, "doc_id").select("owner", F.substring("text", F.lit(1), quarter(F.col("owner_n"))).alias("head"))
-    heads = heads.groupBy("owner").agg(F.min("head").alias("head")).select(F.col("owner").alias("doc_id"), "head")
-    joined = dealt.join(heads, "doc_id").join(follow.select("doc_id", "next_id"), "doc_id")
-    joined = joined.unionByName(rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("long").alias("next_id")))
+    sent = known.join(owners, "doc_id").select("owner", F.substring("text", F.lit(1), quarter(F.col("owner_n"))).alias("head"), words_of(F.col("text")).alias("words"))
+    sent = sent.select("owner", "head", hashes_of(signatures(F.col("words"))).alias("after"))
+    ahead = sent.groupBy("owner").agg(F.min(F.struct("head", "after")).alias("next")).select(F.col("owner").alias("doc_id"), F.col("next.head").alias("head"), F.col("next.after").alias("after"))
+    joined = known.join(ahead, "doc_id").select("doc_id", "text", "head", "after")
+    joined = joined.unionByName(rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<long>").alias("after")))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter(n)), F.substring("head", F.lit(1), quarter(n)))
-    texts = joined.select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    worded = texts.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), words_of(F.col("text")).alias("words"), words_of(F.col("edited")).alias("edited_words"))
-    signed = worded.select("doc_id", "next_id", "n_chars", "edited_sha256", signatures(F.col("words")).alias("signs"), signatures(F.col("edited_words")).alias("edited_signs"))
-    printed = written(
-        signed.select("doc_id", "next_id", "n_chars", "edited_sha256", write_fingerprint(F.col("signs")).alias("fingerprint"), write_fingerprint(F.col("edited_signs")).alias("edited_fingerprint"))
-    )
-    nexts = printed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("doc_id", "next_id")
-    own, edit, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
-    told = printed.join(nexts, "next_id", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint", hashes_of(own).alias("own"), hashes_of(edit).alias("edit"), hashes_of(after).alias("after")
-    )
-    return told.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(own, edit, F.col("own"), F.col("edit")).alias("near_edited"),
-        F.coalesce(likeness(own, after, F.col("own"), F.col("after")), F.lit(0.0)).alias("near_next"),
+    texts = joined.select("doc_id", "after", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    worded = texts.select("doc_id", "after", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), words_of(F.col("text")).alias("words"), words_of(F.col("edited")).alias("edited_words"))
+    sets = worded.select("doc_id", "after", "n_chars", "edited_sha256", hashes_of(signatures(F.col("words"))).alias("own"), hashes_of(signatures(F.col("edited_words"))).alias("edit"))
+    own, edit, after = F.col("own"), F.col("edit"), F.col("after")
+    near = sets.select("*", likeness(own, edit).alias("near_edited"), F.coalesce(likeness(own, after), F.lit(0.0)).alias("near_next"))
+    return near.select(
+        "doc_id", "n_chars", "edited_sha256", write_fingerprint(own).alias("fingerprint"), write_fingerprint(edit).alias("edited_fingerprint"), "near_edited", "near_next",
+        length_partition(F.size(own)).alias("length_partition"), similar(own, edit, F.col("near_edited")).alias("edited_similar"),
+        F.coalesce(similar(own, after, F.col("near_next")), F.lit(False)).alias("next_similar"),
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WHITE, bound_batches, text_or_empty, written
+from vellum.llm.common import WHITE, bit_map, bits_of, bound_batches, text_or_empty, written
 
 #: Consecutive sentences (or pieces of long ones), and words, that a run has at least.
 RUN, WORDS = 2, 20
@@ -112,27 +112,17 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _map_of(repeated: DataFrame) -> np.ndarray:
-    """The bit map of repeated hashes: at most 2^20 words of 64 bits reach the driver, whatever the input."""
-    slots = repeated.select(F.col("h1").bitwiseAND(F.lit(2**MAP_BITS - 1)).alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
 def seen_before(docs: DataFrame) -> DataFrame:
     """(doc_id, places): numbers of a document's runs that a smaller doc_id holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     found = rows.mapInArrow(_emit, "doc_id long, place int, h1 long, h2 long")
     repeated = written(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
-    bits = docs.sparkSession.sparkContext.broadcast(_map_of(repeated))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(repeated, F.col("h1").bitwiseAND(F.lit(2**MAP_BITS - 1)), MAP_BITS))
 
     def emit_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words64 = bits.value
         for batch in _emit(batches):
-            slot = batch.column("h1").to_numpy() & (2**MAP_BITS - 1)
-            yield batch.filter(pa.array((words64[slot >> 6] >> (slot & 63)) & 1 == 1))
+            yield batch.filter(pa.array(bits_of(words64, batch.column("h1").to_numpy() & (2**MAP_BITS - 1))))
 
     found = rows.mapInArrow(emit_repeated, "doc_id long, place int, h1 long, h2 long")
     return found.join(repeated, ["h1", "h2"]).where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))

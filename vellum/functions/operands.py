@@ -102,6 +102,13 @@ class TypedField:
             return self.column == wanted
         return F.lit(False)
 
+    def same(self, value: Any) -> Column:
+        """Equality that is never null, for negations. A text that is no time equals nothing, whatever the field holds."""
+        if not (pair := self._pair(value)):
+            return F.coalesce(self.equals(value), F.lit(False))
+        left, right = pair
+        return left.eqNullSafe(right) & right.isNotNull()  # a literal on the right, so the second half folds away
+
     def is_in(self, values: list) -> Column:
         """Equality with one of some values that are not null."""
         if self.family in (NUMBER, TEXT) and (same := [x for x in values if family_of(x) == self.family]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ def holds_all(text: Column, wanted: list[str]) -> Column:
 
 
 def holds_any(text: Column, wanted: list[str]) -> Column:
-    """Whether at least one of ``wanted`` is a token of ``text``; false for none wanted."""
+    """Whether at least one of ``wanted`` is a token of ``text``; false for none wanted. A substring test goes first, as in :func:`holds_all`."""
     if not wanted:
         return F.lit(False)
-    return F.arrays_overlap(tokens(text), F.array(*map(F.lit, sorted(set(wanted)))))
+    wanted = sorted(set(wanted))
+    quick = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(word)) for word in wanted))
+    return quick & F.arrays_overlap(tokens(text), F.array(*map(F.lit, wanted)))

@@ -154,7 +154,12 @@ class FilterCompiler:
         if not isinstance(values, list | tuple):
             raise QueryError("in and nin take a list")
         known = [x for x in values if x is not None]
-        absent = ~F.coalesce(field.is_in(known), F.lit(False)) if isinstance(field, VariantField) else ~field.is_in(known)
+        if isinstance(field, VariantField):
+            absent = ~F.coalesce(field.is_in(known), F.lit(False))
+        elif field.family in (NUMBER, TEXT):
+            absent = ~field.is_in(known)
+        else:
+            absent = ~any_of([field.same(x) for x in known])
         return absent & ~field.is_null() if len(known) < len(values) else absent | field.is_null()
 
     def _contains(self, field: TypedField | VariantField, mode: str | None, operand: Any) -> Column:
@@ -179,5 +184,4 @@ def _differs(field: TypedField, operand: Any) -> Column:
     """``neq`` on a column: null differs from any value."""
     if field.family == ARRAY or family_of(operand) == ARRAY or field._pair(operand) is None:
         return field.is_null() | ~F.coalesce(field.equals(operand), F.lit(False))
-    left, right = field._pair(operand)
-    return ~left.eqNullSafe(right)
+    return ~field.same(operand)

@@ -120,6 +120,29 @@ label_matches("exists_true", {"quality": {"exists": True}}, "quality IS NOT NULL
 label_matches("exists_false", {"quality": {"exists": False}}, "quality IS NULL")
 label_matches("or_nulls", {"$or": [{"quality": {"gt": 0}}, {"lang": "en"}]}, "quality > 0 OR lang = 'en'")
 
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of which every seventh has no date."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("dated"))
+
+
+_DATED = "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS dated FROM orders) WHERE "
+
+
+def time_matches(name: str, filter_: dict, where: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: search.matching(dated(spark, sf_dir), StoreSpec("dated", "o_orderkey"), {"filter": {"dated": filter_}}).select("o_orderkey")
+    SQL[name] = _DATED + where
+
+
+_DAYS = "TIMESTAMP '1996-01-02', TIMESTAMP '1995-03-04'"
+time_matches("time_neq_unparsed", {"neq": "garbage"}, "true")
+time_matches("time_neq", {"neq": "1996-01-02"}, "dated IS DISTINCT FROM TIMESTAMP '1996-01-02'")
+time_matches("time_nin_unparsed", {"nin": ["garbage"]}, "true")
+time_matches("time_nin", {"nin": ["garbage", "1996-01-02", "1995-03-04"]}, f"NOT coalesce(dated IN ({_DAYS}), false)")
+time_matches("time_nin_null", {"nin": [None, "garbage", "1996-01-02"]}, "dated IS NOT NULL AND dated <> TIMESTAMP '1996-01-02'")
+time_matches("time_in", {"in": ["garbage", "1996-01-02", "1995-03-04"]}, f"dated IN ({_DAYS})")
+
 # --- text --------------------------------------------------------------------------------------------------------------
 
 _SIGNS = EDGE_SIGNS.replace("'", "''")

@@ -310,6 +310,17 @@ def test_n_best_matches_all_segmentations():
             assert len({tuple(ids) for _, ids in got}) == len(got)
 
 
+def test_best_segmentations_mostly_agree_with_the_file(spark):
+    """Most words are cut as the file's own encoder cuts them, which merges pairs and knows no probabilities."""
+    import sentencepiece
+
+    own, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.model_of(MODEL)
+    words = Counter(w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for w in pieces.words_of(r.text or ""))
+    same = sum(n for w, n in words.items() if model.n_best(pieces.SPACE + w, 1)[0][1] == own.encode(w))
+    assert same >= 0.75 * sum(words.values())
+    assert model.n_best("▁the▁quick▁brown", 1)[0][1] == own.encode("the quick brown")
+
+
 def test_encode_documents(spark):
     texts = ["the cat sat on the mat", "  two  spaces ", "tail ", "▁ mark ▁▁", "line\nfeed\ttab", "日本語 🎉 x", "x" * 3000, "", None, " "] + [f"word{i} again the" for i in range(600)]
     rows = pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, with_ids=True).collect()

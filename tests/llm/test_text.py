@@ -101,7 +101,7 @@ def test_novel_spans_of_planted_keys(spark):
     rows = planted_keys(1000)
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").repartition(4)
     words = secret_scan.learn_dictionary(docs)
-    assert {b"application", b"handler", b"cache"} <= set(words.split()) and len(words.split()) <= secret_scan.DICTIONARY
+    assert {b"application", b"handler", b"Cache"} <= set(words.split()) and len(words.split()) <= secret_scan.DICTIONARY
     spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in secret_scan.find_secrets(docs).collect()}
     found = {d: [rows[d][1][int(s) : int(e)] for k, s, e in x if k == "novel"] for d, x in spans.items()}
     assert sum(key in found[d] for d, _, key in rows if key) >= 0.95 * 500

@@ -5,6 +5,10 @@ best score from the start to each position, which is the exact rest cost of a se
 segmentations in order of score and touches nothing that is not on one of the N best. A character that no piece covers is
 one edge of byte pieces with the penalty of an unknown character.
 
+A segmentation's score is the sum over its pieces, so scores must be log probabilities. A file of merges has ranks instead
+(0, -1, -2, ...), whose sum says little. They are read as frequency ranks: p is in proportion to 1 / (``RANK_OFFSET`` +
+rank), the law of Zipf and Mandelbrot. Nothing is trained.
+
 No piece of the vocabulary has a space mark after another character (checked on load), so a text's lattice is a chain of
 independent lattices, cut before each run of space marks. Words repeat, so a worker keeps what it knows of the words it
 has met in a memo of bounded size; a text's own N best are the best sums over its words.
@@ -12,6 +16,7 @@ has met in a memo of bounded size; a text's own N best are the best sums over it
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -32,6 +37,8 @@ SPACE = "▁"
 N_BEST = 3
 #: What an unknown character scores below the lowest piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
+#: Where scores are ranks: what is added to a rank before its reciprocal is a frequency.
+RANK_OFFSET = 100
 #: Scores at or under this mark pieces for runs of spaces; they don't set the scale of unknown characters.
 _NEVER = -1e8
 #: Words and characters that a worker's memo holds at most before it starts anew, and texts that are encoded together.
@@ -39,6 +46,18 @@ MEMO_WORDS, MEMO_CHARS, TEXTS = 1_000_000, 16_000_000, 256
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+def _log_probabilities(scores: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """(id, score) with log probabilities where the scores are ranks; others stay, as do those of pieces that are never used.
+
+    They are multiples of 2^-20, so sums are exact in any order.
+    """
+    used = [s for _, s in scores if s > _NEVER]
+    if len(set(used)) < len(used) or any(s > 0 or s != int(s) for s in used):
+        return scores
+    total = math.log(sum(1 / (RANK_OFFSET - s) for s in used)) if used else 0.0
+    return [(i, s if s <= _NEVER else round((-math.log(RANK_OFFSET - s) - total) * 2**20) / 2**20) for i, s in scores]
+
+
 class Model:
     """Pieces and scores of a model file."""
 
@@ -50,6 +69,7 @@ class Model:
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in ids if i not in special and not model.is_byte(i)}
+        self.pieces = dict(zip(self.pieces, _log_probabilities(list(self.pieces.values())), strict=True))
         if any(SPACE in piece.lstrip(SPACE) for piece in self.pieces):
             raise ValueError("a piece has a space mark after another character")
         self.single = {piece for piece in self.pieces if len(piece) == 1}

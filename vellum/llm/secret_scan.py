@@ -5,7 +5,7 @@ sensitive context. It is compressed with the code around it and a dictionary of
 bytes says how much of it neither the identifiers nor its surroundings explain. Random keys stay as long as they were;
 names, paths and repeated values shrink.
 
-The dictionary is learnt from the corpus: words of identifiers in the surroundings of all sensitive contexts, counted by
+The dictionary is learnt from the corpus: names and their words in the surroundings of all sensitive contexts, counted by
 document with sums inside tasks, of which the ``DICTIONARY`` most frequent are kept. Names have
 digits at their end alone, so keys that documents repeat do not become identifiers. A second pass finds the spans; memory is that of one batch.
 """
@@ -34,8 +34,8 @@ SURROUNDINGS = 512
 REACH = 48
 #: A candidate is novel from this share of the compressed bytes that random strings of its alphabet and length take.
 RANDOM_SHARE = 0.95
-#: Words of identifiers that the dictionary keeps, and documents that such a word is in at least.
-DICTIONARY, DICTIONARY_DOCUMENTS = 1024, 3
+#: Names and words of names that the dictionary keeps, documents that each is in at least, and the longest name.
+DICTIONARY, DICTIONARY_DOCUMENTS, LONGEST_NAME = 1024, 3, 48
 #: Random strings that are tried, and the length from which the entropy of the alphabet stands for them.
 SAMPLES, LONG = 16, 4096
 REDACTED = "[SECRET]"
@@ -103,26 +103,28 @@ def is_novel(body: bytes, start: int, end: int, words: bytes = b"") -> bool:
     return found >= RANDOM_SHARE * max(math.log2(len(alphabet)) / 8, _random_cost(alphabet, end - start))
 
 
-def parts_near_contexts(body: bytes) -> set[bytes]:
-    """Words of identifiers in the surroundings of sensitive contexts."""
+def names_near_contexts(body: bytes) -> set[bytes]:
+    """Names in the surroundings of sensitive contexts, without the digits at their ends, and the words that make them up."""
     found: set[bytes] = set()
     done = 0
     for context in _CONTEXT.finditer(body.lower()):
         low, high = max(done, context.start() - SURROUNDINGS), context.end() + SURROUNDINGS
         for name in _NAME.findall(body, low, high):
-            found.update(_PART.findall(name))
+            if len(name) <= LONGEST_NAME:
+                found.add(name.rstrip(b"0123456789_.-"))
+                found.update(_PART.findall(name))
         done = max(done, context.end())
-    return {x.lower() for x in found}
+    return found
 
 
 def learn_dictionary(texts: DataFrame) -> bytes:
-    """The most frequent words of identifiers near sensitive contexts of all of ``texts`` (column text), the most frequent last."""
+    """The most frequent names and words of names near sensitive contexts of all of ``texts`` (column text), the most frequent last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             met: Counter[bytes] = Counter()
             for text in texts_of(batch.column("text")):
-                met.update(parts_near_contexts(text.encode("utf-8", "surrogatepass")))
+                met.update(names_near_contexts(text.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in met], pa.string()), pa.array(met.values(), pa.int64())], names=["word", "n"])
 
     counts = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= DICTIONARY_DOCUMENTS)

@@ -26,14 +26,15 @@ from vellum.model import StoreSpec
 ALIASES = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "is_included": "in", "not_included": "nin"}
 
 
-def record_id(spec: StoreSpec, df: DataFrame) -> Column:
-    """``_id`` of each row, as text."""
+def record_id(spec: StoreSpec, df: DataFrame, outer: bool = False) -> Column:
+    """``_id`` of each row, as text; ``outer`` for use in a subquery on the row."""
+    column = lambda name: F.col(f"`{name}`").outer() if outer else F.col(f"`{name}`")
     if "_id" in df.columns:
-        return F.col("_id")
+        return column("_id")
     if spec.key:
-        parts = [F.col(f"`{name}`").cast("string") for name in spec.key]
+        parts = [column(name).cast("string") for name in spec.key]
         return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
-    return F.sha2(F.to_json(F.struct(*(F.col(f"`{name}`") for name in df.columns))), 256)
+    return F.sha2(F.to_json(F.struct(*(column(name).alias(name) for name in df.columns))), 256)
 
 
 class FilterCompiler:
@@ -71,7 +72,29 @@ class FilterCompiler:
             return any_of([self._all(x, depth + 1) for x in value])
         if name == "_id" or (name == "id" and "id" not in self.types and not self.spec.doc):
             return self._by_id(value)
-        return self._field_clause(self._field(name), self.spec.fields.get(name), value)
+        mode = self.spec.fields.get(name)
+        if mode == "text" and name in self.spec.indexes and (found := self._indexed(self.spec.indexes[name], value)) is not None:
+            return found
+        return self._field_clause(self._field(name), mode, value)
+
+    def _indexed(self, table: str, value: Any) -> Column | None:
+        """Keywords, or ``contains`` alone, as lookups in token postings: each is a semi-join with the rows of some tokens, which the scan of the sorted table skips to."""
+        if isinstance(value, list) and all(isinstance(x, str) for x in value):
+            wanted = [tokens_of(x) for x in value]
+        elif isinstance(value, dict) and list(value) == ["contains"] and isinstance(value["contains"], str):
+            wanted = [[x] for x in sorted(set(tokens_of(value["contains"])))]
+        else:
+            return None
+        if not wanted or not all(wanted):
+            return F.lit(False)
+        posted = self.df.sparkSession.read.parquet(table)
+        own = record_id(self.spec, self.df, outer=True)
+        return reduce(lambda a, b: a & b, [posted.where(posted["token"].isin(sorted(set(x))) & (posted["_id"] == own)).exists() for x in wanted])
+
+    def text_of(self, name: str) -> Column:
+        """A field as text, null where it is something else; what an index of the field is made from."""
+        text = self._field(name).text()
+        return F.lit(None).cast("string") if text is None else text
 
     def _field(self, name: str) -> TypedField | VariantField:
         path = self.spec.nested and "." in name

@@ -166,6 +166,35 @@ token_matches("keyword_multi_token", ["from er", "th"], "(list_contains(tok, 'fr
 token_matches("keywords_empty", [], "false")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> StoreSpec:
+    """The documents with a table of token postings, written once for an application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
+        index.write_postings(_postings(spark, sf_dir), path)
+        _indexes[key] = path
+    return SPECS["documents"].changed(indexes={"text": _indexes[key]})
+
+
+def indexed_matches(name: str, value: Any, like: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: search.matching(read(spark, sf_dir, "documents"), indexed_documents(spark, sf_dir), {"filter": {"text": value}}).select("doc_id", "n_chars")
+    SQL[name] = SQL[like]
+
+
+indexed_matches("indexed_contains", {"contains": "From, er the"}, "contains_tokens")
+indexed_matches("indexed_keywords", ["from er", "th"], "keyword_multi_token")
+
+
+@query(f"WITH t AS (SELECT doc_id, n_chars, {tok('text')} AS tok FROM documents) SELECT doc_id, n_chars FROM t WHERE (list_contains(tok, 'from') AND list_contains(tok, 'er')) OR n_chars < 200")
+def indexed_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in the index beside another test."""
+    filter_ = {"$or": [{"text": {"contains": "from er"}}, {"n_chars": {"lt": 200}}]}
+    return search.matching(read(spark, sf_dir, "documents"), indexed_documents(spark, sf_dir), {"filter": filter_}).select("doc_id", "n_chars")
+
+
 @query(f"SELECT doc_id, len({tok('text')})::BIGINT AS n_tokens FROM documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))

@@ -163,3 +163,66 @@ def test_postings_on_disk(spark, tmp_path):
     assert ids(["common", "word1"]) == list(range(1, 40, 5)) and ids(["rare", "word1"], mode="or") == sorted({7, *range(1, 40, 5)})
     assert ids(["rare word3"]) == sorted({7, *range(3, 40, 5)}) and ids([]) == [] == ids(["the"]) and ids(["the", "rare"]) == []
     assert {r.token: r.n_records for r in index.posting_sizes(posted).collect()}["common"] == 40
+
+
+def test_compaction_frees_what_it_covers(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_store(StoreSpec("log"))
+    folders = lambda kind: [p.name for p in (tmp_path / "stores" / "log" / kind).glob("*=*")]
+    for n in range(3):
+        engine.set("log", f"r{n}", {"v": n})
+    engine.compact("log")
+    assert len(folders("ops")) == 3 and len(folders("base")) == 1
+    engine.set("log", "r0", {"v": 9})
+    engine.compact("log")
+    engine.compact("log")
+    assert len(folders("ops")) == 1 and len(folders("base")) == 2
+    engine.delete("log", "r1")
+    assert {k: r["v"] for k, r in engine.multi_get("log", ["r0", "r1", "r2"]).items()} == {"r0": 9, "r2": 2}
+    engine.compact("log")
+    assert len(folders("ops")) == 1 and len(folders("base")) == 2 and engine.count("log") == 2
+
+
+def test_buffered_writes_are_appended_together(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_store(StoreSpec("log"))
+    appended = []
+    monkeypatch.setattr(Engine, "_append", lambda self, name, ops, f=Engine._append: (appended.append(ops.count()), f(self, name, ops))[1])
+    monkeypatch.setattr("vellum.engine.WRITES_HELD", 4)
+    with engine.buffered("log"):
+        for n in range(6):
+            engine.set("log", f"r{n % 3}", {"v": n})
+        engine.delete("log", "r1")
+    assert appended == [4, 3] and {r["_id"]: r["v"] for r in engine.multi_get("log", ["r0", "r1", "r2"]).values()} == {"r0": 3, "r2": 5}
+    with pytest.raises(RuntimeError), engine.buffered("log"):
+        engine.set("log", "r9", {"v": 1})
+        raise RuntimeError
+    assert engine.exists("log", "r9")
+
+
+def test_index_of_a_managed_store(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_store(StoreSpec("notes", fields={"body": "text"}))
+    with engine.buffered("notes"):
+        engine.set("notes", "a", {"body": "Steel bolts, and NUTS."})
+        engine.set("notes", "b", {"body": "wooden nuts", "n": 3})
+        engine.set("notes", "c", {"n": 5})
+    filters = [{"body": ["nuts"]}, {"body": {"contains": "the steel nuts"}}, {"body": {"contains": "the"}}, {"body": []}, {"body": ["nuts", "wooden steel"]}, {"$or": [{"body": ["bolts"]}, {"n": {"gt": 4}}]}, {"body": {"contains": "nuts", "neq": "wooden nuts"}}]
+    scanned = [engine.query("notes", {"filter": f}).ids for f in filters]
+    engine.build_index("notes", "body", str(tmp_path / "postings"))
+    assert [engine.query("notes", {"filter": f}).ids for f in filters] == scanned == [["a", "b"], ["a"], [], [], ["a", "b"], ["a", "c"], ["a"]]
+    plan = engine.df("notes")
+    from vellum.operators import search
+
+    assert "In(__token, [steel,wooden])" in search.matching(plan, engine.spec("notes"), {"filter": filters[4]})._jdf.queryExecution().toString()
+    engine.set("notes", "d", {"body": "new nuts"})
+    assert engine.query("notes", {"filter": filters[0]}).ids == ["a", "b", "d"]
+
+
+def test_requests_kept_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr("vellum.engine.REQUESTS_KEPT", 5)
+    engine = Engine(spark)
+    engine.register(StoreSpec("products", "_id"), spark.createDataFrame(PRODUCTS, PRODUCTS_SCHEMA))
+    for _ in range(8):
+        engine.execute("exists", "products", {"record_id": "p1"})
+    assert engine.requests().count() == 5

@@ -230,3 +230,28 @@ def test_timeout(spark):
     slow = spark.range(0, 6_000_000, 1, 4).select(F.col("id").cast("string").alias("_id"), F.sha2(F.sha2(F.col("id").cast("string"), 512), 512).alias("v"))
     with pytest.raises(QueryTimeout):
         search.run_query(slow, StoreSpec("slow", "_id", timeout_ms=300), {"filter": {"v": "x"}})
+
+
+def test_negations_on_times(spark):
+    """A text that is no time equals nothing; null differs from every value."""
+    import datetime
+
+    from vellum.model import StoreSpec
+    from vellum.operators import search
+
+    days = [datetime.date(2024, 1, d) for d in (1, 2, 3)]
+    rows = [(k, None if d is None else datetime.datetime(d.year, d.month, d.day), d) for k, d in enumerate([*days, None])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, day date")
+    pool = ["garbage", "2024-01-01", "2024-01-02", "2024-13-45", ""]
+    when = {"2024-01-01": days[0], "2024-01-02": days[1]}
+    for field in ("ts", "day"):
+        for mask in range(2 ** len(pool)):
+            values = [v for k, v in enumerate(pool) if mask >> k & 1]
+            known = {when[v] for v in values if v in when}
+            for extra in ([], [None]):
+                found = {r.id for r in search.matching(df, StoreSpec("t", "id"), {"filter": {field: {"nin": values + extra}}}).collect()} if mask % 3 == 0 else None
+                if found is not None:
+                    assert found == {k for k, _, d in rows if d not in known and not (d is None and extra)}, (field, values, extra)
+        for v in pool:
+            assert {r.id for r in search.matching(df, StoreSpec("t", "id"), {"filter": {field: {"neq": v}}}).collect()} == {k for k, _, d in rows if d != when.get(v, 0)}
+            assert {r.id for r in search.matching(df, StoreSpec("t", "id"), {"filter": {field: {"eq": v}}}).collect()} == {k for k, _, d in rows if d is not None and d == when.get(v)}

@@ -34,7 +34,7 @@ class StoreSpec:
     key: the columns whose values, as text, make up ``_id`` (joined by ``|``); without any, the whole row is hashed.
     fields: search mode of fields, see ``MODES``. doc: column with the JSON or VARIANT body of a schemaless store; its
     fields are then looked up in the body. nested: whether a dotted name is a path. default_limit: page size where a
-    query has none (0 or less: no limit). indexes: tables of token postings (``operators.index.write_postings``) of fields in
+    query has none (0 or less: no limit). indexes: tables of token postings (``operators.index.write_index``) of fields in
     ``text`` mode, which token search then reads in place of the texts; they hold what records said when written. depth_limit: how deep filters may nest. timeout_ms, slow_query_ms: 0 is off.
     """
 

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from vellum.functions.text import tokens, tokens_of
 
 
+#: Columns of an index; a subquery on it names columns of records too, which cannot be called so.
+TOKEN, RECORD = "__token", "__record"
+
+
 def postings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     """(token, _id), one row for each distinct token of a record. A projection without a shuffle."""
     return df.select(id_.alias("_id"), F.explode(F.array_distinct(tokens(text))).alias("token")).select("token", "_id")
@@ -27,6 +31,12 @@ def write_postings(posted: DataFrame, path: str, files: int = 32) -> None:
     posted.repartitionByRange(files, "token", "_id").sortWithinPartitions("token", "_id").write.mode("overwrite").parquet(path)
 
 
+def write_index(posted: DataFrame, path: str, files: int = 32) -> None:
+    """Postings as :func:`write_postings` stores them, under names that records cannot have: the table that filters look up."""
+    stored = posted.select(F.col("token").alias(TOKEN), F.col("_id").alias(RECORD))
+    stored.repartitionByRange(files, TOKEN, RECORD).sortWithinPartitions(TOKEN, RECORD).write.mode("overwrite").parquet(path)
+
+
 def search_postings(posted: DataFrame, keywords: list[str], mode: str = "and") -> DataFrame:
     """_id of records that meet all (``and``) or some (``or``) keywords; a keyword is met by any of its tokens."""
     wanted = [(number, token) for number, keyword in enumerate(keywords) for token in tokens_of(keyword)]

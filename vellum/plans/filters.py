@@ -21,6 +21,7 @@ from vellum.errors import QueryError
 from vellum.functions.operands import ARRAY, NUMBER, TEXT, MissingField, TypedField, VariantField, any_of, family_of, number
 from vellum.functions.text import holds_all, holds_any, tokens_of
 from vellum.model import StoreSpec
+from vellum.operators.index import RECORD, TOKEN
 
 #: Other names of operators.
 ALIASES = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "is_included": "in", "not_included": "nin"}
@@ -89,7 +90,7 @@ class FilterCompiler:
             return F.lit(False)
         posted = self.df.sparkSession.read.parquet(table)
         own = record_id(self.spec, self.df, outer=True)
-        return reduce(lambda a, b: a & b, [posted.where(posted["token"].isin(sorted(set(x))) & (posted["_id"] == own)).exists() for x in wanted])
+        return reduce(lambda a, b: a & b, [posted.where(F.col(TOKEN).isin(sorted(set(x))) & (F.col(RECORD) == own)).exists() for x in wanted])
 
     def text_of(self, name: str) -> Column:
         """A field as text, null where it is something else; what an index of the field is made from."""

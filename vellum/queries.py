@@ -15,6 +15,7 @@ from vellum.model import Identity, StoreSpec
 from vellum.operators import access, fold, index, metrics, recent, search
 from vellum.plans.builder import Q
 from vellum.plans.filters import record_id
+from vellum.sources import audit, segments
 from vellum.sources.storage import read, scratch
 from vellum.streaming import feed
 
@@ -174,7 +175,7 @@ def indexed_documents(spark: SparkSession, sf_dir: str) -> StoreSpec:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         path = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
-        index.write_postings(_postings(spark, sf_dir), path)
+        index.write_index(_postings(spark, sf_dir), path)
         _indexes[key] = path
     return SPECS["documents"].changed(indexes={"text": _indexes[key]})
 
@@ -367,9 +368,10 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS _id FROM l WHERE last // 1000 = 0")
+@query("WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS _id FROM l WHERE last // 1000 = (SELECT max(event_id) // 1000 FROM events)")
 def segment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.segment_members(_entries(spark, sf_dir), 0)
+    entries = _entries(spark, sf_dir)
+    return fold.segment_members(entries, entries.agg(F.max("segment")).first()[0])
 
 
 @query("""
@@ -386,6 +388,94 @@ def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.flat_paths(docs).select(F.col("_id").cast("long").alias("event_id"), "path", "value")
 
 
+@query("""
+    WITH l AS (SELECT user_id, event_type, arg_max(CAST(round(value * 100) AS BIGINT), event_id) AS v FROM events GROUP BY ALL)
+    SELECT CAST(user_id AS VARCHAR) AS _id, '{"last":{' || string_agg('"' || event_type || '":{"v":' || v || '}', ',' ORDER BY event_type) || '}}' AS doc FROM l GROUP BY user_id""")
+def fold_deep_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects three deep, written one path at a time, both as objects and as dotted paths; a shallow fold would lose all paths but the last."""
+    value = F.round(F.col("value") * 100).cast("long")
+    nested = F.to_json(F.create_map(F.lit("last"), F.create_map("event_type", F.create_map(F.lit("v"), value))))
+    dotted = F.to_json(F.create_map(F.concat(F.lit("last."), "event_type", F.lit(".v")), value))
+    ops = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("_id"), F.lit("write").alias("op"), F.when(F.col("event_id") % 2 == 0, nested).otherwise(dotted).alias("delta"))
+    return fold.fold_deep(ops)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def nest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names become structs, and structs dotted names again."""
+    flat = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("who.name"), F.col("c_nationkey").alias("who.home.nation"), F.col("c_acctbal").alias("balance"))
+    nested = flat.select(*fold.nest_columns(flat.columns))
+    again = nested.select(*fold.flatten_columns(nested.schema))
+    return again.select(F.col("key").alias("c_custkey"), F.col("`who.name`").alias("c_name"), F.col("`who.home.nation`").alias("c_nationkey"), F.col("balance").alias("c_acctbal"))
+
+
+# --- logs as text, audits, single reads ----------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS _id, '{\"name\":\"' || c_name || '\"}' AS doc FROM customer")
+def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as text lines, ``id {json}``, and read again."""
+    path = f"{scratch(spark)}/segments-{uuid.uuid4().hex}"
+    segments.write_segments(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("doc")), path, 1000)
+    return segments.read_segments(spark, path).select("_id", "doc")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS _id, '{\"n\":' || max(event_id) || '}' AS doc FROM events GROUP BY user_id")
+def segment_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line of each record over a log of several segments."""
+    path = f"{scratch(spark)}/segments-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    segments.write_segments(events.select(F.col("user_id").cast("string").alias("_id"), F.to_json(F.struct(F.col("event_id").alias("n"))).alias("doc")), path, 1000)
+    return segments.current_versions(segments.read_segments(spark, path))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 25")
+def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/log-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
+    return segments.read_json_log(spark, path, "event_id long, event_type string", 25, "event_id")
+
+
+@query("SELECT 'changed' AS state, 1 AS n UNION ALL SELECT 'missing', 1")
+def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a table against a manifest: one was rewritten since, one is gone."""
+    path = f"{scratch(spark)}/audited-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "nation").repartition(4).write.parquet(path)
+    now = audit.manifest(spark, path, "*.parquet")
+    first = now.agg(F.min("path")).scalar()
+    before = now.withColumn("sha256", F.when(F.col("path") == first, "other").otherwise(F.col("sha256"))).union(spark.range(1).select(F.lit("gone").alias("path"), F.lit(1).cast("long"), F.lit("x")))
+    return audit.damaged(before, now).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT '3' AS _id, count(*) > 0 AS found FROM customer WHERE c_custkey = 3 UNION ALL SELECT 'none', false")
+def record_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer")
+    return fold.union_all([spark.range(1).select(F.lit(id_).alias("_id"), F.lit(search.exists(customer, SPECS["customer"], id_)).alias("found")) for id_ in ("3", "none")])
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS field FROM events EXCEPT SELECT 'other'")
+def new_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.new_fields(read(spark, sf_dir, "events"), spark.range(1).select(F.lit("other").alias("field")), "props")
+
+
+@query("SELECT 'fresh' AS stores, 'ok' AS state UNION ALL SELECT 'growing', 'low' UNION ALL SELECT 'long', 'degraded'")
+def id_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh, growing, long = (StoreSpec("s", "k", identity=x) for x in (Identity(), Identity(length=30, auto_expand=True), Identity(length=40)))
+    groups = {"fresh": [fresh], "growing": [fresh, growing], "long": [fresh, growing, long]}
+    return fold.union_all([spark.range(1).select(F.lit(name).alias("stores"), F.lit(metrics.health(specs)).alias("state")) for name, specs in groups.items()])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 1")
+def custom_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matching(read(spark, sf_dir, "orders"), SPECS["orders"], {"filter": {"o_orderstatus": "F"}}, F.col("o_orderkey") % 3 == 1).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50")
+def nested_path_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").withColumn("props", F.concat(F.lit('{"a":{"b":'), "props", F.lit("}}")))
+    return search.matching(events, SPECS["events"], {"filter": {"a.b.k": {"gte": 50}}}).select("event_id")
+
+
 # --- figures of a request log: events as requests ------------------------------------------------------------------------
 
 _LOG = """
@@ -492,6 +582,11 @@ def evicted_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.evicted(read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts"), "user", "ts", 10).select("_id")
 
 
+@query("WITH u AS (SELECT user_id, max(ts) AS t, count(*) AS n FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS _id FROM u ORDER BY n DESC, t DESC, _id DESC OFFSET 10")
+def evicted_lfu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recent.evicted(read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts"), "user", "ts", 10, "lfu").select("_id")
+
+
 @query("""
     WITH g AS (SELECT user_id, event_type, max(value) > 450 AS can_read FROM events GROUP BY ALL)
     SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM g WHERE g.user_id = e.user_id AND g.event_type = e.event_type AND can_read)""")
@@ -513,8 +608,7 @@ def generate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a stream reads a folder or a pattern, and the table may be one file
+    return feed.files_as_stream(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)  # a stream reads a folder or a pattern, and the table may be one file
 
 
 def _folder(spark: SparkSession) -> str:
@@ -549,3 +643,15 @@ def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     feed.log_operations(ops, folder, f"{folder}/checkpoint").awaitTermination()
     return fold.fold_shallow(feed.read_batches(spark, folder, "ops", fold.OPS))
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS _id, CASE WHEN event_type = 'click' THEN 'rename' ELSE 'write' END AS op, CASE WHEN event_type = 'view' THEN '[1]' ELSE '{}' END AS delta FROM events WHERE event_type IN ('error', 'click', 'view')")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations without an id, of an unknown kind, or that write no object, as a stream splits them off."""
+    folder = _folder(spark)
+    kind = F.col("event_type")
+    ops = _stream(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), F.when(kind != "error", F.col("user_id").cast("string")).alias("_id"), F.when(kind == "click", "rename").otherwise("write").alias("op"), F.when(kind == "view", "[1]").otherwise("{}").alias("delta")
+    )
+    feed.log_operations(ops, folder, f"{folder}/checkpoint").awaitTermination()
+    return feed.read_batches(spark, folder, "dead_letters", fold.OPS)

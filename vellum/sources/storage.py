@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests on one machine."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,6 +38,11 @@ def subfolders(spark: SparkSession, path: str, holding: str = "_SUCCESS") -> lis
     return sorted(p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, holding)))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
     files = old.getFileSystem(spark._jsc.hadoopConfiguration())

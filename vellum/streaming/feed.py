@@ -10,12 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vellum.operators.fold import wellformed
 from vellum.sources.storage import subfolders
 
 
+def files_as_stream(spark: SparkSession, path: str, schema: T.StructType | str, most_files: int = 256) -> DataFrame:
+    """New Parquet files under ``path`` as a stream. A micro-batch takes ``most_files`` at most: files that come faster wait, and no batch outgrows the cluster."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+
+
 def _write_batches(stream: DataFrame, folder: str, checkpoint: str, shape: Callable[[DataFrame], dict[str, DataFrame]], once: bool) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         for table, rows in shape(batch).items():

@@ -192,6 +192,14 @@ def test_drops_tell_rows_apart_by_text(spark, drop):
     assert len(empty) == (1 if drop is exact_dedup.drop_copies else 3)
 
 
+def test_near_with_a_full_map(spark, monkeypatch):
+    """More candidates than the bit map can tell apart: ids choose the texts, and nothing changes."""
+    monkeypatch.setattr(minhash, "MAP_BITS", 6)
+    rows = near_corpus(6, groups=(30, 4))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows)
+
+
 def test_near_ids_that_repeat_with_other_texts(spark):
     long = [f"w{k}" for k in range(80)]
     rows = [(3, " ".join(long)), (3, "quite another text than that one"), (2, " ".join([*long[:79], "x"])), (1, "quite another text than that other one")]

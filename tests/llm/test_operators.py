@@ -112,6 +112,7 @@ def test_substring_dedup_finds_all_runs(spark):
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>", "<\\|im_end|>", "<|n|>\n<|im_start|>assistant ok", "<<\\\\|", "", None, "é\n\n日本", "<|" * 500]
     rows = [(c, t, role, odd[(c * 3 + t) % len(odd)], "k") for c in range(12) for t, role in enumerate(["system", "user", "assistant", "user", "assistant", None, "as\nsistant<|"][: 1 + c % 7])]
+    rows += [(77, t, role, "<|im_end|> é" * 60000, "k") for t, role in enumerate(["user", "assistant", "assistant"])]
     rows += [(99, 0, "assistant", "twice", "k"), (99, 0, "assistant", "twice", "k"), (None, 1, "user", "x", "k")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
     got = {r.conv_id: r for r in chat.digest(df).collect()}

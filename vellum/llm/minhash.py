@@ -224,9 +224,12 @@ def _slot(name: str) -> Column:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): full shingle sets of ``nodes``. Texts are not shuffled."""
+    """(node, shingles): full shingle sets of ``nodes``. Texts are not shuffled, unless a share of them that fills the map is wanted."""
     wanted = written(classes.join(nodes, "node", "left_semi").select("node", "rep", "digest"))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, _slot("rep"), MAP_BITS))
+    held = bit_map(wanted, _slot("rep"), MAP_BITS)
+    if np.bitwise_count(held.view(np.uint64)).sum() > 2 ** (MAP_BITS - 1):  # a map this full lets most texts through; the ids themselves then choose
+        docs = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(held)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words64 = bits.value

@@ -9,9 +9,10 @@ at least ``SUPPORT`` different surroundings (copies of a passage are one) is a s
 in documents without it. In sanitised text an entity is generalised to its kind and a disclosing word is removed.
 
 The first pass over the texts finds entities; rows, texts and all, go to the shared folder, so that later passes know the
-rows again. Documents with entities emit their (entity, word) pairs, which are counted by document with map-side sums. A pass
-over all texts counts the words of supported pairs, and a last one looks disclosing words up; for both a bit map of fixed
-size keeps other words out of the shuffle, and an exact join decides.
+rows again. Documents with entities emit their (entity, word) pairs, which are counted by document with map-side sums. A word is in
+no fewer documents than it is near some entity in; where that alone keeps a pair under the threshold, it is dropped. A pass
+over all texts counts the words of the other supported pairs, and a last one looks disclosing words up; for both a bit map of
+fixed size keeps other words out of the shuffle, and an exact join decides.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ NEAR_WORDS = 32
 #: Different surroundings that a pair needs, and the share of the entity's information from which a word discloses it.
 SUPPORT, DISCLOSURE = 3, 0.9
 BITMAP_BITS = 22
-#: Stands among the words of an entity for the entity itself.
-_ITSELF = 0
+#: Stands among the words of an entity for the entity itself, and among entities for any of them.
+_ITSELF = _ANY = 0
 _PAIRS = 100_000
 
 _LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -106,12 +107,13 @@ def _inside(spans: list[tuple[int, int, int]], words: list[tuple[int, int]]) ->
 
 
 def near_words(body: bytes, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(entity, term, surrounding) of each entity of a text with itself and with the words near it; hashes are signed 64-bit."""
+    """(entity, term, surrounding) of each entity of a text with itself and with the words near it, and of any entity with each such word once; hashes are signed 64-bit."""
     words = _terms(body)
     words = [w for w, hit in zip(words, _inside(spans, words), strict=True) if not hit]
     starts = [s for s, _ in words]
     lower = body.lower()
     hashes = [_signed(lower[s:e]) for s, e in words]
+    met: set[int] = set()
     for start, kind, end in spans:
         at = bisect_left(starts, start)
         low, high = max(0, at - NEAR_WORDS), at + NEAR_WORDS
@@ -119,6 +121,8 @@ def near_words(body: bytes, spans: list[tuple[int, int, int]]) -> Iterator[tuple
         for entity in map(_signed, levels(kind, body[start:end])):
             for term in {_ITSELF, *hashes[low:high]}:
                 yield entity, term, around
+        met.update(hashes[low:high])
+    yield from ((_ANY, term, 0) for term in met)
 
 
 def _points(body: bytes, text: str, places: list[int]) -> dict[int, int]:
@@ -180,7 +184,11 @@ def disclosing(found: DataFrame) -> DataFrame:
     by_row = met.groupBy("entity", "term", "row").agg(F.min("around").alias("around"))
     pairs = written(by_row.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("around").alias("surroundings")))
     entities = pairs.where(F.col("term") == _ITSELF).select("entity", F.col("both").alias("with_entity"))
-    supported = pairs.where((F.col("term") != _ITSELF) & (F.col("surroundings") >= SUPPORT)).select("entity", "term", "both")
+    least = pairs.where(F.col("entity") == _ANY).select("term", F.col("both").alias("with_any"))
+    total = F.lit(float(max(found.count(), 2)))
+    reaches = lambda with_term: F.log(F.col("both") * total / (with_term * F.col("with_entity"))) >= DISCLOSURE * F.log(total / F.col("with_entity")) - 1e-9
+    supported = pairs.where((F.col("term") != _ITSELF) & (F.col("entity") != _ANY) & (F.col("surroundings") >= SUPPORT)).join(entities, "entity").where(F.col("with_entity") < total)
+    supported = written(supported.join(least, "term").where(reaches(F.col("with_any"))).select("term", "both", "with_entity"))
     bits = found.sparkSession.sparkContext.broadcast(bit_map(supported, F.pmod("term", F.lit(2**BITMAP_BITS)), BITMAP_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +201,7 @@ def disclosing(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "n"])
 
     terms = found.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
-    total = F.lit(float(max(found.count(), 2)))
-    shared = F.log(F.col("both") * total / (F.col("with_term") * F.col("with_entity")))
-    told = supported.join(terms, "term").join(entities, "entity").where(F.col("with_entity") < total)
-    return told.where(shared >= DISCLOSURE * F.log(total / F.col("with_entity")) - 1e-9).select("term").distinct()
+    return supported.join(terms, "term").where(reaches(F.col("with_term"))).select("term").distinct()
 
 
 def _occurrences(found: DataFrame, terms: DataFrame) -> DataFrame:

@@ -59,14 +59,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of ``docs`` for each group of equal texts, the one that :func:`find_copies` keeps; columns and their order stay.
 
     Rows are told apart by their bytes, never by their id, and copies are folded before the one shuffle. Defined cases:
-    all null, empty and white texts are equal; the most code points win, then the smallest id, then the smallest text; a row
+    all null, empty and white texts are equal; the most code points win, then the smallest id, then the least hash of the text; a row
     with a null id stays only in a group without ids; of rows that are equal in all of these one stays; rows that share an id
     and differ in text are not copies; an empty table gives an empty result.
     """
     raw = text_or_empty(text_col)
     norm, doc_id = normalised(raw), F.col(id_col).cast("long")
     row = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)))
-    rank = F.struct(doc_id.isNull(), -F.length(raw), doc_id, raw)
+    rank = F.struct(doc_id.isNull(), -F.length(raw), doc_id, F.xxhash64(raw))
     keyed = docs.select(norm.alias("norm"), row.alias("row"), rank.alias("rank")).withColumn("hash", F.unhex(F.md5("norm")))
     kept = keyed.groupBy("hash", "norm").agg(F.min_by("row", "rank").alias("row"))
     return kept.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -383,14 +383,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of ``docs`` for each component of near copies, the one with the smallest id; columns and their order stay.
 
     Rows are told apart by their words, never by their id. Defined cases: rows without words (null, empty or white texts)
-    all stay; of rows with equal words one stays, the smallest id, then the smallest text, a null id only where no other row has
+    all stay; of rows with equal words one stays, the smallest id, then the least hash of the text, a null id only where no other row has
     one; rows that share an id and differ in words stay both unless they are near copies; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     lost = _classes(rows, percent)[1].where(~F.col("first")).select(F.hex("digest").alias("key"))
     text = text_or_empty(text_col)
     plain = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    row, rank = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns))), F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), text)
+    row, rank = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns))), F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(text))
     worded = F.length(F.translate(text, WHITE, "")) > 0
     folded = docs.where(worded).select(F.upper(F.md5(plain)).alias("key"), row.alias("row"), rank.alias("rank")).groupBy("key").agg(F.min_by("row", "rank").alias("row"))
     kept = folded.join(lost, "key", "left_anti").select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -1,6 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
-Each step is one shuffle of the edges with a map-side minimum, so a hub node costs a row per map task and not a list.
+Each step is one shuffle of the edges with a map-side minimum, so a hub node costs a row per map task and not a list; the
+minima are written before they are joined back, which lets Spark split the edges of a hub.
 The number of rounds is logarithmic in the number of nodes; the edges of each round go to the shared checkpoint folder.
 """
 
@@ -19,8 +20,8 @@ EDGES_OF_TASK = 200_000
 
 def _star(edges: DataFrame, parts: int) -> DataFrame:
     """Link what ``edges`` (from, to) pairs with each ``from`` to the least of its neighbours and itself."""
-    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return edges.join(least, "a").coalesce(parts)
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts)
+    return edges.join(cut_lineage(least), "a").coalesce(parts)  # of two tables, so that Spark can split the edges of a hub or broadcast few
 
 
 def _large_star(edges: DataFrame, parts: int) -> DataFrame:
@@ -52,7 +53,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = cut_lineage(_small_star(_large_star(edges, parts), parts))
+        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges, parts)), parts))
         now = _mark(edges)
         if now == before:
             break

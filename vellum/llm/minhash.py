@@ -147,9 +147,9 @@ def _post(classes: DataFrame, prefix: int) -> DataFrame:
 
 def _lists(classes: DataFrame, prefix: int) -> DataFrame:
     """The postings with the length and the leader of their list."""
-    posted = _post(classes, prefix)
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "weight").alias("leader")).where("n > 1")
-    return posted.select("token", "node").join(lists, "token")
+    posted = written(_post(classes, prefix))
+    lists = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "weight").alias("leader")).where("n > 1"))
+    return posted.select("token", "node").join(lists, "token")  # of two tables, so that Spark can split a long list or broadcast few
 
 
 def _stars(lists: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _stars(lists: DataFrame) -> DataFrame:
     led = large.select("leader", "node").distinct()
     followers = led.groupBy("leader").agg(F.count(F.lit(1)).alias("followers"))
     first = led.join(followers, "leader").groupBy("node").agg(F.max(F.struct("followers", "leader")).alias("first"))
-    chosen = large.join(first, "node").groupBy("token").agg(F.max("first").alias("first")).select("token", F.col("first.leader").alias("a"))
+    chosen = written(large.join(first, "node").groupBy("token").agg(F.max("first").alias("first")).select("token", F.col("first.leader").alias("a")))
     return large.select("token", F.col("node").alias("b")).join(chosen, "token").where("a <> b").select("a", "b").distinct()
 
 
@@ -250,7 +250,7 @@ def _open_members(told: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of stars whose members are in more than one component so far, with their component."""
     named = told.join(comps, told["b"] == comps["node"], "left").select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked", "n", "delta", F.coalesce("component", "b").alias("comp"))
     unsettled = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled")).where("low < high and not settled").select("leader")
-    return named.join(unsettled, "leader", "left_semi")
+    return named.join(written(unsettled), "leader", "left_semi")
 
 
 def _element_tokens(batch: pa.RecordBatch) -> np.ndarray:
@@ -297,13 +297,13 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
 
 def _meetings(members: DataFrame, percent: int) -> DataFrame:
     """Postings of elements that can still make a link, with the length and the leader of their list."""
-    posted = _shared_elements(members, percent)
+    posted = written(_shared_elements(members, percent))
     keys = ["leader", "element"]
     lists = posted.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("many"), F.min("at").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled"),
         F.min_by("member", F.col("n_delta") * 2**32 + F.pmod("member", F.lit(2**32))).alias("next_leader"),
     )
-    lists = lists.where("low < high and not settled").drop("low", "high", "settled")
+    lists = written(lists.where("low < high and not settled").drop("low", "high", "settled"))
     apart = F.col("at") + F.col("first")
     return posted.join(lists, keys).where(apart * (100 + percent) <= (F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent))
 

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty
+from vellum.llm.common import batches_of, bound_batches, cut_lineage, text_or_empty, written
 from vellum.llm.shingles import mix
 
 WINDOW = 4096
@@ -39,6 +40,7 @@ MEMO_WORDS = 500_000
 #: Content keys of a document: least hashes of its ids in so many orders, then of its shingles, then the hash of all ids.
 ORDERS, SHINGLE = 4, 5
 PATH = ORDERS + 2
+_KEYS = [f"key{k}" for k in range(PATH)]
 #: Shards that a task numbers at most; its partition stands above them.
 SHARDS_OF_TASK = 2**13
 K1, B = 1.2, 0.75
@@ -158,12 +160,12 @@ def _paths(documents: list[np.ndarray], owner: np.ndarray, ids: np.ndarray) -> n
 
 
 def _tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n, path (content keys) of each row, and rows with ``term`` and ``df`` alone: document counts of ids, summed over a partition."""
+    """doc_id, ids, n, key0 to key5 (content keys) of each row, and rows with ``term`` and ``df`` alone: document counts of ids, summed over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(_tokenizer(path)[2])
         df = np.zeros(size, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("path", pa.list_(pa.int64())), ("term", pa.int64()), ("df", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), *((key, pa.int64()) for key in _KEYS), ("term", pa.int64()), ("df", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -171,15 +173,14 @@ def _tokenise(docs: DataFrame, path: str) -> DataFrame:
                 owner, ids, _ = _distinct(coded, size)
                 df += np.bincount(ids, minlength=size)
                 narrow = [(b"2" + x.astype(np.uint16).tobytes()) if x.max() < 65536 else (b"4" + x.tobytes()) for x in coded]
-                none = pa.nulls(len(coded), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(narrow, pa.binary()), pa.array([len(x) for x in coded], pa.int64()), pa.array(list(_paths(coded, owner, ids)), pa.list_(pa.int64())), none, none], schema=schema
-                )
+                none, paths = pa.nulls(len(coded), pa.int64()), _paths(coded, owner, ids)
+                keys = [pa.array(paths[:, k].copy()) for k in range(PATH)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(narrow, pa.binary()), pa.array([len(x) for x in coded], pa.int64()), *keys, none, none], schema=schema)
         there = np.flatnonzero(df)
-        nulls = [pa.nulls(len(there), field.type) for field in list(schema)[:4]]
+        nulls = [pa.nulls(len(there), field.type) for field in list(schema)[:-2]]
         yield pa.RecordBatch.from_arrays([*nulls, pa.array(there), pa.array(df[there])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, n long, path array<long>, term long, df long")
+    return docs.mapInArrow(run, f"doc_id long, ids binary, n long, {', '.join(f'{key} long' for key in _KEYS)}, term long, df long")
 
 
 def _ids(cell: bytes) -> np.ndarray:
@@ -196,27 +197,27 @@ def _document_counts(coded: DataFrame) -> np.ndarray:
 
 
 def _in_order(coded: DataFrame, n_tokens: int) -> DataFrame:
-    """doc_id, ids, path of each document, range partitioned and sorted by content keys; copies that overfill a shard are spread by row."""
-    rows = coded.where("term IS NULL").select("doc_id", "ids", "path", "row", "n", F.element_at("path", -1).alias("all_ids"))
-    overfull = rows.groupBy("all_ids").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > SHARD_TOKENS).select("all_ids", F.lit(True).alias("spread"))
-    keys = [F.element_at("path", k + 1).alias(f"key{k}") for k in range(PATH)]
-    salted = rows.join(overfull, "all_ids", "left").select("doc_id", "ids", "path", "row", *keys, F.when(F.col("spread"), F.col("row")).otherwise(0).alias("salt"))
+    """doc_id, ids, n and keys of each document, range partitioned and sorted by content keys; copies that overfill a shard are spread by row."""
+    rows = coded.where("term IS NULL").drop("term", "df")
+    overfull = rows.groupBy(_KEYS[-1]).agg(F.sum("n").alias("tokens")).where(F.col("tokens") > SHARD_TOKENS).select(_KEYS[-1], F.lit(True).alias("spread"))
+    # written, so that Spark knows how few these are and need not shuffle the rows; of many it would
+    salted = rows.join(written(overfull), _KEYS[-1], "left").withColumn("salt", F.when(F.col("spread"), F.col("row")).otherwise(0)).drop("spread")
     parts = max(1, min(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // SHARD_TOKENS)))
-    order = [*(f"key{k}" for k in range(PATH)), "salt"]
-    return salted.repartitionByRange(parts, *order).sortWithinPartitions(*order, "doc_id", "row").select("doc_id", "ids", "path")
+    order = [*_KEYS, "salt"]
+    return salted.repartitionByRange(parts, *order).sortWithinPartitions(*order, "doc_id", "row").select("doc_id", "ids", "n", *_KEYS)
 
 
 def shards_of(rows: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
-    """Sorted ``rows`` (path, n, ...) in runs of ``limit`` tokens: a run ends before it would pass that, unless equal texts go on, which
+    """Sorted ``rows`` (coarse key, key of the text, n, ...) in runs of ``limit`` tokens: a run ends before it would pass that, unless equal texts go on, which
     end it behind that, and from three quarters of it on where the coarse keys change."""
     held: list[tuple] = []
     tokens = 0
     for row in rows:
-        path, n = row[:2]
+        coarse, text, n = row[:3]
         if held:
-            last = held[-1][0]
-            full = tokens >= limit if path == last else tokens + n > limit
-            if full or (tokens * 4 >= limit * 3 and path[:ORDERS] != last[:ORDERS]):
+            last = held[-1]
+            full = tokens >= limit if text == last[1] else tokens + n > limit
+            if full or (tokens * 4 >= limit * 3 and coarse != last[0]):
                 yield held
                 held, tokens = [], 0
         held.append(row)
@@ -326,14 +327,17 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * SHARDS_OF_TASK
-        rows = (
-            (path, (len(cell) - 1) // (2 if cell[:1] == b"2" else 4), cell, doc_id)
-            for batch in batches for path, cell, doc_id in zip(*(batch.column(c).to_pylist() for c in ("path", "ids", "doc_id")), strict=True)
-        )
-        for shard, held in enumerate(shards_of(rows, limit)):
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                columns = [batch.column(c).to_numpy().view(np.uint64) for c in _KEYS]
+                coarse = functools.reduce(lambda a, b: mix(a + b * _ODD), columns[:ORDERS])
+                yield from zip(coarse.tolist(), columns[-1].tolist(), *(batch.column(c).to_pylist() for c in ("n", "ids", "doc_id")), strict=True)
+
+        for shard, held in enumerate(shards_of(rows(), limit)):
             if shard == SHARDS_OF_TASK:
                 raise RuntimeError("a task has more shards than it can number; use more shuffle partitions")
-            documents = [_ids(cell) for _, _, cell, _ in held]
+            documents = [_ids(cell) for *_, cell, _ in held]
             sizes = np.array([len(x) for x in documents])
             pieces = list(cut(chain(Index(documents, idf.value, mean), sizes), documents))
             who, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))

@@ -155,6 +155,7 @@ def _paths(documents: list[np.ndarray], owner: np.ndarray, ids: np.ndarray) -> n
     for k in range(1, SHINGLE):  # shingles that begin too near the end of a document reach into the next
         rolled[np.maximum(ends - k, 0)] = np.iinfo(np.uint64).max
     out[:, -2] = np.minimum.reduceat(rolled, np.concatenate([[0], ends[:-1]]))
+    out[:, :-1] = mix(out[:, :-1])  # long documents have small least hashes; in the order of the keys they are no neighbours
     out[:, -1] = [xxhash.xxh3_64_intdigest(x) for x in documents]
     return out.view(np.int64)
 

@@ -80,9 +80,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches of this session hold 16 MB, where the session has Spark's own 64 MB: a worker and its executor hold several."""
+    """Lets Arrow batches of this session hold 4 MB, where the session has Spark's own 64 MB: a worker and its executor hold several, some twice."""
     if spark.conf.get(_BATCH_BYTES) == "67108864b":
-        spark.conf.set(_BATCH_BYTES, str(16 * 2**20))
+        spark.conf.set(_BATCH_BYTES, str(4 * 2**20))
 
 
 def bit_map(df: DataFrame, slot: Column, bits: int) -> np.ndarray:
@@ -104,6 +104,13 @@ def texts_of(column: pa.Array, size: int = 256) -> Iterator[str]:
         yield from column.slice(at, size).to_pylist()
 
 
+def slices_of(batches: Iterable[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``size`` rows, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def batches_of(values: Iterable, size: int) -> Iterable[list]:
     """``values`` in lists of at most ``size``."""
     held: list = []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WHITE, bit_map, bits_of, bound_batches, cut_lineage, text_or_empty, texts_of, written
+from vellum.llm.common import WHITE, bit_map, bits_of, bound_batches, cut_lineage, slices_of, text_or_empty, texts_of, written
 from vellum.llm.components import components
 from vellum.llm.shingles import digest, mix, shingle_set, words
 
@@ -128,9 +128,7 @@ def _post(classes: DataFrame, prefix: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices_of(batches, 2048):
             tokens = _matrix(batch.column("signature"))
             freq = often[_bucket(tokens)]
             order = np.argsort((freq.astype(np.uint64) << np.uint64(20)) | (tokens & np.uint64(0xFFFFF)), axis=1, kind="stable")[:, :prefix]
@@ -176,7 +174,7 @@ def _agree(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Pairs whose signatures agree on at least ``least`` coordinates."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches, 4096):
             if batch.num_rows:
                 same = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(same))
@@ -194,7 +192,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, star: bool) -> Dat
     """a, b, linked; for a star (a is the leader) also n (size of b's set) and delta, the symmetric difference of both sets."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             linked, sizes, deltas = [], [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -266,9 +264,7 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices_of(batches):
             tokens = _element_tokens(batch)
             freq = often[_bucket(tokens)]
             rows, places, found, begin = [], [], [], 0

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bound_batches, text_or_empty, texts_of
+from vellum.llm.common import bound_batches, slices_of, text_or_empty, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Bytes before and after a candidate that count as its surroundings.
@@ -229,7 +229,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at, size_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             texts, sizes = [], {}
             for row, text in enumerate(texts_of(batch.column(at))):
                 texts.append(None if text is None else redact(text, scan(text, words)))

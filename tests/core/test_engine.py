@@ -106,6 +106,15 @@ def test_segments(spark, tmp_path):
     assert [r.ip for r in segments.read_json_log(spark, str(tmp_path / "log.jsonl"), "time long, ip string", 2).collect()] == ["b", "c"]
 
 
+def test_segments_in_order_of_their_numbers(spark, tmp_path):
+    docs = spark.createDataFrame([("a", f'{{"n":{n}}}') for n in range(1002)], "_id string, doc string").coalesce(1)
+    segments.write_segments(docs, str(tmp_path / "many"), lines_per_file=1)  # c999 comes before c1000
+    assert [r.doc for r in segments.current_versions(segments.read_segments(spark, str(tmp_path / "many"))).collect()] == ['{"n":1001}']
+    names = ["a", "s0_9", "s1", "s1_2", "s01_10", "s2.b", "s10", "s99999999999999999999999", "s100000000000000000000000", "x-00000-1", "x-00000-02", "x-100000-0"]
+    ordered = spark.createDataFrame([(x,) for x in names], "name string").orderBy(segments.name_order(F.col("name")))
+    assert [r.name for r in ordered.collect()] == names
+
+
 def test_streams_equal_batch_folds(spark, tmp_path):
     rows = [(i, f"k{i % 4}", "delete" if i % 11 == 7 else "write", None if i % 11 == 7 else json.dumps({f"f{i % 3}": i})) for i in range(60)] + [(99, "k1", "write", "broken")]
     for part in range(3):

@@ -1,7 +1,8 @@
 """Log segments as text: a line for each version, ``id {json}``. Import and export; the engine itself keeps Parquet.
 
-The place of a line comes from the file's name, the offset of its split and the order within the split, so files of any
-size are read in splits and no task needs a whole segment.
+The place of a line comes from the file's name, its numbers read as numbers (a writer's counter may outgrow its zeros, and
+``c1000`` follows ``c999``), the offset of its split and the order within the split, so files of any size are read in splits
+and no task needs a whole segment.
 """
 
 from __future__ import annotations
@@ -20,11 +21,18 @@ def parse_line(line: Column) -> list[Column]:
     return [F.when(good, parts[0]).alias("_id"), F.when(good, body).alias("doc")]
 
 
+def name_order(name: Column) -> Column:
+    """A text that sorts as ``name`` does with its runs of digits compared as numbers of any length; names that differ in leading zeros alone are equal."""
+    runs = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda run: F.ltrim(run, F.lit("0"))
+    return F.array_join(F.transform(runs, lambda run: F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(run)).cast("string"), 3, "0"), bare(run))).otherwise(run)), "")
+
+
 def read_segments(spark: SparkSession, path: str, keep_malformed: bool = False) -> DataFrame:
     """(segment, place, _id, doc, size) of the lines under ``path`` (a folder, file or glob); ``place`` orders lines of all segments."""
     lines = spark.read.text(path)
     meta = lines.select("value", F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    rows = meta.select("segment", F.struct("segment", "block", "line").alias("place"), *parse_line(F.col("value")), F.octet_length("value").alias("size"), "value")
+    rows = meta.select("segment", F.struct(name_order(F.col("segment")).alias("name"), "segment", "block", "line").alias("place"), *parse_line(F.col("value")), F.octet_length("value").alias("size"), "value")
     return rows if keep_malformed else rows.where("_id IS NOT NULL").drop("value")
 
 

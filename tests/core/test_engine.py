@@ -174,6 +174,26 @@ def test_postings_on_disk(spark, tmp_path):
     assert {r.token: r.n_records for r in index.posting_sizes(posted).collect()}["common"] == 40
 
 
+def test_index_is_built_in_one_pass(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            cut.add(batch.num_rows)
+            yield batch
+
+    rows = [(str(n), f"common word{n % 5}" if n % 7 else None) for n in range(40)] + [("none", "the"), ("empty", "")]
+    docs = spark.createDataFrame(rows, "_id string, text string").repartition(3).mapInArrow(counted, "_id string, text string")
+    path = str(tmp_path / "index")
+    index.write_index(index.postings(docs, F.col("_id"), F.col("text")), path)
+    assert cut.value == len(rows)  # a shuffle by ranges reads them once more for its borders
+    stored = spark.read.parquet(path)
+    assert sorted(map(tuple, stored.collect())) == sorted((token, id_) for id_, text in rows for token in (text or "").split() if token != "the")
+    for file in (tmp_path / "index").glob("*.parquet"):
+        tokens = [r[0] for r in spark.read.parquet(str(file)).collect()]
+        assert tokens == sorted(tokens)
+
+
 def test_compaction_frees_what_it_covers(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     engine.create_store(StoreSpec("log"))

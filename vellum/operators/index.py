@@ -17,8 +17,11 @@ TOKEN, RECORD = "__token", "__record"
 
 
 def postings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
-    """(token, _id), one row for each distinct token of a record. A projection without a shuffle."""
-    return df.select(id_.alias("_id"), F.explode(F.array_distinct(tokens(text))).alias("token")).select("token", "_id")
+    """(token, _id), one row for each distinct token of a record. A projection without a shuffle.
+
+    The outer explode keeps Spark from inferring a filter on the array, which would cut each text into tokens once more.
+    """
+    return df.select(id_.alias("_id"), F.explode_outer(F.array_distinct(tokens(text))).alias("token")).where("token IS NOT NULL").select("token", "_id")
 
 
 def posting_sizes(posted: DataFrame) -> DataFrame:
@@ -26,15 +29,20 @@ def posting_sizes(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def write_postings(posted: DataFrame, path: str, files: int = 32) -> None:
-    """Postings as Parquet, ranged and sorted by token (and id, so that a frequent token spreads over files): a search skips all other row groups."""
-    posted.repartitionByRange(files, "token", "_id").sortWithinPartitions("token", "_id").write.mode("overwrite").parquet(path)
+def write_postings(posted: DataFrame, path: str, files: int | None = None) -> None:
+    """Postings as Parquet, sorted by token (and id): a search skips all other pages.
+
+    Each task writes the postings of its records as a sorted file of its own, so nothing is shuffled and texts are cut into
+    tokens once. With ``files``, postings are ranged into that many, whatever their size, which cuts each text twice.
+    """
+    keys = posted.columns
+    ranged = posted if files is None else posted.repartitionByRange(files, *keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def write_index(posted: DataFrame, path: str, files: int = 32) -> None:
+def write_index(posted: DataFrame, path: str, files: int | None = None) -> None:
     """Postings as :func:`write_postings` stores them, under names that records cannot have: the table that filters look up."""
-    stored = posted.select(F.col("token").alias(TOKEN), F.col("_id").alias(RECORD))
-    stored.repartitionByRange(files, TOKEN, RECORD).sortWithinPartitions(TOKEN, RECORD).write.mode("overwrite").parquet(path)
+    write_postings(posted.select(F.col("token").alias(TOKEN), F.col("_id").alias(RECORD)), path, files)
 
 
 def search_postings(posted: DataFrame, keywords: list[str], mode: str = "and") -> DataFrame:

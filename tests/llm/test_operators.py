@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -395,3 +396,16 @@ def test_fingerprint_search(spark):
     assert {(x.query_id, x.doc_id) for x in got} == want and len(got) == len(want) > 20
     assert all(abs(x.similarity - len(sets[x.query_id] & sets[x.doc_id]) / len(sets[x.query_id] | sets[x.doc_id])) < 1e-9 for x in got)
     assert spotsigs.search(df.limit(0), df).collect() == [] == spotsigs.search(df, df.limit(0)).collect()
+
+
+def test_a_task_counts_each_term_once(monkeypatch):
+    """Term counts of the batches of a task are summed before they leave it."""
+    batches = [([1, 5], [1, 2]), ([], []), ([5, 7, 9], [1, 1, 4]), ([-3, 1], [2, 2])]
+    arrays = lambda: ((np.array(t, np.int64), np.array(n, np.int64)) for t, n in batches)
+    assert [(t.tolist(), n.tolist()) for t, n in pii._summed(arrays())] == [([-3, 1, 5, 7, 9], [2, 3, 3, 1, 4])]
+    monkeypatch.setattr(pii, "_TERMS", 3)
+    parts = list(pii._summed(arrays()))
+    total = Counter()
+    for terms, n in parts:
+        total.update(dict(zip(terms.tolist(), n.tolist(), strict=True)))
+    assert len(parts) == 2 and total == {-3: 2, 1: 3, 5: 3, 7: 1, 9: 4}

@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ BITMAP_BITS = 22
 #: Stands among the words of an entity for the entity itself, and among entities for any of them.
 _ITSELF = _ANY = 0
 _PAIRS = 100_000
+#: Different terms that a task counts before it hands the counts on.
+_TERMS = 500_000
 
 _LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -175,6 +177,21 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _summed(counts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, n) of a task, each term once; where more than ``_TERMS`` differ, what is summed up so far goes first."""
+    terms, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for more, times in counts:
+        both = np.union1d(terms, more)
+        summed = np.zeros(len(both), np.int64)
+        summed[np.searchsorted(both, terms)] += n
+        summed[np.searchsorted(both, more)] += times
+        terms, n = both, summed
+        if len(terms) > _TERMS:
+            yield terms, n
+            terms, n = terms[:0], n[:0]
+    yield terms, n
+
+
 def disclosing(found: DataFrame) -> DataFrame:
     """(term): words over the thresholds for some entity of ``found`` (row, text, base).
 
@@ -192,14 +209,16 @@ def disclosing(found: DataFrame) -> DataFrame:
     bits = found.sparkSession.sparkContext.broadcast(bit_map(supported, F.pmod("term", F.lit(2**BITMAP_BITS)), BITMAP_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = [np.empty(0, np.int64)]
-            for text in texts_of(batch.column("text")):
-                h = (word_hashes(_WORD.findall(text.encode("utf-8", "surrogatepass").lower())) ^ np.uint64(2**63)).view(np.int64)
-                wanted.append(np.unique(h[bits_of(bits.value, h & (2**BITMAP_BITS - 1))]))
-            terms, n = np.unique(np.concatenate(wanted), return_counts=True)
+        for terms, n in _summed(wanted(texts_of(batch.column("text"))) for batch in batches):
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "n"])
 
+    def wanted(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = [np.empty(0, np.int64)]
+        for text in texts:
+            h = (word_hashes(_WORD.findall(text.encode("utf-8", "surrogatepass").lower())) ^ np.uint64(2**63)).view(np.int64)
+            held.append(np.unique(h[bits_of(bits.value, h & (2**BITMAP_BITS - 1))]))
+        return np.unique(np.concatenate(held), return_counts=True)
+
     terms = found.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     return supported.join(terms, "term").where(reaches(F.col("with_term"))).select("term").distinct()
 

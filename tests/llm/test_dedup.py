@@ -177,6 +177,17 @@ def test_near_postings_stay_in_proportion(spark, monkeypatch):
     assert made[1400] < 3 * made[700], made
 
 
+def test_near_rounds_leave_out_what_is_joined(spark, monkeypatch):
+    """Rounds of stars count and post for members outside the component that most are in, not for each pair of members that short lists have joined."""
+    n, elements, rows = 1400, [], []
+    monkeypatch.setattr(minhash, "_sketch", lambda df, tokens_of, f=minhash._sketch: ("delta" in df.columns and elements.extend(len(r.delta) // 8 for r in df.collect()), f(df, tokens_of))[1])
+    monkeypatch.setattr(minhash, "_meetings", lambda members, percent, f=minhash._meetings: (met := f(members, percent), rows.append(met.count()))[0])
+    docs = loose_group(n, 5)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == fast_components(docs, 80)
+    assert sum(rows) < 24 * n and sum(elements) < 110 * n, (rows, sum(elements))
+
+
 @pytest.mark.parametrize("drop", [exact_dedup.drop_copies, minhash.drop_near_duplicates])
 def test_drops_tell_rows_apart_by_text(spark, drop):
     """Ids repeat, are null or clash with nothing that the operator adds; rows go by what they hold."""

@@ -7,15 +7,17 @@ document in any common order of tokens; with frequent tokens last (a fixed-size
 prefix is merged, and the long lists behind it are skipped and merely counted when a pair is met.
 
 A list of at most ``SMALL`` documents gives its pairs. A longer one, as large groups of copies make it, takes a leader, the
-one that most of its documents share with other lists, and gives one pair per member. Members that the leader's links and
-what else is known put into one component need nothing more. For the others, say i and j with |i - j| <= D (symmetric
-differences, D from the similarity) of which one is not linked to the leader: their differences from the leader share an
-element, and in any common order of elements the first that they share stands at places p and q with
-p + q + |(|di| - p) - (|dj| - q)| <= D. So each difference is posted under its first D + 1 elements, rare ones first, elements
-that no other member has are left out, and so are lists of one component. Short lists of an element give pairs, where a bit
-map of both differences lets them be links; long ones are stars again, with a leader of their own and fewer members, until
-none is left. What counts as short grows by the round up to a bound, as dense groups are joined in the first rounds. No group
-is held in one task, no group emits all its pairs, and each round emits rows in proportion to its members.
+one that most of its documents share with other lists, and gives one pair per member. Members that the links of leaders and
+of short lists put into one component need nothing more. Of the others' pairs, one is outside the component that most members
+of the star are in; call it minor. Say i is minor and |i - j| <= D (symmetric differences, D from the similarity), and not both
+are linked to the leader: their differences from the leader share an element, and in any common order of elements the first
+that they share stands at places p and q with p + q + |(|di| - p) - (|dj| - q)| <= D. So each difference is posted under its
+first D + 1 elements, those that few minor members have first; elements that no minor member has are left out, and so are
+lists of one component and postings that nothing in their list can meet within D. Lists of an element with few minor members
+give the pairs of these, where a bit map of both differences lets them be links; the other lists are stars again, with a leader
+of their own and fewer members, until none is left. What counts as few grows by the round up to a bound, as dense groups are
+joined in the first rounds. No group is held in one task, no group emits all its pairs, and each round emits rows in proportion
+to its members.
 
 Every link is confirmed on the full shingle sets; these are built where the texts are read, for documents that a bit map of
 fixed size lets through.
@@ -42,9 +44,9 @@ COORDINATES = 64
 PERCENT = 80
 #: Chance that a pair at the wanted similarity agrees on fewer coordinates than the match threshold, at most.
 MISS = 4e-6
-#: Longest posting list that gives all its pairs, and longest list of an element that does: in the first round, from one to the next, and at most.
+#: Longest posting list that gives all its pairs, and most minor members of a list of an element that gives theirs: in the first round, from one to the next, and at most.
 SMALL = 16
-MEET_FIRST, MEET_GROWTH, MEET_MOST = 16, 4, 1024
+MEET_FIRST, MEET_GROWTH, MEET_MOST = 64, 4, 1024
 #: 64-bit words of the bit map of a difference; two maps differ in no more bits than their differences do in elements.
 MAP_WORDS = 4
 #: Counters of the sketches of tokens and elements; they only order them, so collisions cost time and never a link.
@@ -245,10 +247,11 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _open_members(told: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members of stars whose members are in more than one component so far, with their component."""
+    """The members of stars whose members are in more than one component so far, with their component; minor are those outside the component that most have."""
     named = told.join(comps, told["b"] == comps["node"], "left").select(F.col("a").alias("leader"), F.col("b").alias("member"), "linked", "n", "delta", F.coalesce("component", "b").alias("comp"))
-    unsettled = named.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled")).where("low < high and not settled").select("leader")
-    return named.join(written(unsettled), "leader", "left_semi")
+    held = named.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("linked").alias("settled"))
+    unsettled = held.groupBy("leader").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("many", "comp")).alias("main"), F.min("settled").alias("settled")).where("comps > 1 and not settled")
+    return named.join(written(unsettled.select("leader", F.col("main.comp").alias("main"))), "leader").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
 
 
 def _element_tokens(batch: pa.RecordBatch) -> np.ndarray:
@@ -259,8 +262,8 @@ def _element_tokens(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
-    """leader, element, at (place in the member's difference, rare elements first), and what is known of the member; elements that only one member has are left out."""
-    sketch = members.sparkSession.sparkContext.broadcast(_sketch(members.select("leader", "delta"), _element_tokens))
+    """leader, element, at (place in the member's difference, rare elements first), and what is known of the member; elements that no minor member has are left out."""
+    sketch = members.sparkSession.sparkContext.broadcast(_sketch(members.where("minor").select("leader", "delta"), _element_tokens))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
@@ -272,7 +275,7 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
             for row, (delta, n) in enumerate(zip(batch.column("delta"), batch.column("n").to_pylist(), strict=True)):
                 end = begin + len(delta.as_buffer()) // 8
                 order = np.lexsort((tokens[begin:end], freq[begin:end]))[: _most(n + 100 * n // percent, percent) + 1]
-                at = np.flatnonzero(freq[begin:end][order] > 1)
+                at = np.flatnonzero(freq[begin:end][order] > 0)
                 rows.append(np.full(len(at), row))
                 places.append(at)
                 found.append(tokens[begin:end][order[at]])
@@ -280,66 +283,80 @@ def _shared_elements(members: DataFrame, percent: int) -> DataFrame:
                 begin = end
             rows = np.concatenate(rows)
             sizes = np.array([len(d.as_buffer()) // 8 for d in batch.column("delta")], np.int64)
-            taken = batch.select(["leader", "member", "linked", "n", "comp"]).take(pa.array(rows))
+            taken = batch.select(["leader", "member", "linked", "n", "comp", "minor"]).take(pa.array(rows))
             bits = np.packbits(maps, axis=1).view(np.int64)[rows]
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(sizes[rows]), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(MAP_WORDS))],
-                names=["leader", "member", "linked", "n", "comp", "n_delta", "at", "element", *(f"map{k}" for k in range(MAP_WORDS))],
+                names=["leader", "member", "linked", "n", "comp", "minor", "n_delta", "at", "element", *(f"map{k}" for k in range(MAP_WORDS))],
             )
 
     maps_schema = "".join(f", map{k} long" for k in range(MAP_WORDS))
-    return members.mapInArrow(post, "leader long, member long, linked boolean, n long, comp long, n_delta long, at long, element long" + maps_schema)
+    return members.mapInArrow(post, "leader long, member long, linked boolean, n long, comp long, minor boolean, n_delta long, at long, element long" + maps_schema)
 
 
 def _meetings(members: DataFrame, percent: int) -> DataFrame:
-    """Postings of elements that can still make a link, with the length and the leader of their list."""
+    """Postings of elements that can still make a link, with the length, the number of minor members and the leader of their list."""
     posted = written(_shared_elements(members, percent))
-    keys = ["leader", "element"]
+    keys, minor, rest = ["leader", "element"], F.col("minor"), F.col("n_delta") - F.col("at")
     lists = posted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("many"), F.min("at").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled"),
+        F.count_if(minor).alias("minors"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("linked").alias("settled"),
+        F.min("at").alias("first"), F.min(rest).alias("least"), F.max(rest).alias("most"),
+        *(f(F.when(minor, x)).alias(f"minor_{name}") for f, x, name in [(F.min, F.col("at"), "first"), (F.min, rest, "least"), (F.max, rest, "most")]),
         F.min_by("member", F.col("n_delta") * 2**32 + F.pmod("member", F.lit(2**32))).alias("next_leader"),
     )
-    lists = written(lists.where("low < high and not settled").drop("low", "high", "settled"))
-    apart = F.col("at") + F.col("first")
-    return posted.join(lists, keys).where(apart * (100 + percent) <= (F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent))
+    lists = written(lists.where("minors > 0 and low < high and not settled").drop("low", "high", "settled"))
+    # others that a minor member can meet are all of its list, those of any other member are the minor ones
+    first, least, most = (F.when(minor, F.col(name)).otherwise(F.col(f"minor_{name}")) for name in ("first", "least", "most"))
+    apart = F.col("at") + first + F.greatest(F.lit(0), rest - most, least - rest)
+    met = posted.join(lists, keys).where(apart * (100 + percent) <= (F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent))
+    return met.drop("first", "least", "most", "minor_first", "minor_least", "minor_most")
 
 
 def _pairs_that_met(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs in lists of elements that can be links, going by where the element stands in both differences and by their bit maps."""
-    x, y = met.alias("x"), met.alias("y")
+    """Pairs of a minor member and another in lists of elements that can be links, going by where the element stands in both differences and by their bit maps."""
+    x, y = met.where("minor").alias("x"), met.alias("y")
     apart = F.greatest(
         F.col("x.at") + F.col("y.at") + F.abs((F.col("x.n_delta") - F.col("x.at")) - (F.col("y.n_delta") - F.col("y.at"))),
         reduce(Column.__add__, (F.bit_count(F.col(f"x.map{k}").bitwiseXOR(F.col(f"y.map{k}"))).cast("long") for k in range(MAP_WORDS))),
     )
     can = (
-        (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.comp") != F.col("y.comp"))
+        (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.member") < F.col("y.member")))
         & ~(F.col("x.linked") & F.col("y.linked")) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     )
-    return x.join(y, can).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")).distinct()
+    return x.join(y, can).select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
+
+
+def _links_of_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links among ``pairs``, and ``sets`` with the shingle sets that they took besides."""
+    pairs = cut_lineage(_agree(pairs, classes, matches(percent)))
+    sets = sets.union(cut_lineage(_sets(docs, classes, _ends(pairs).join(sets, "node", "left_anti"))))
+    return cut_lineage(_confirm(pairs, sets, percent, star=False).where("linked").select("a", "b")), sets
 
 
 def _linked_nodes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that links reach."""
     lists = written(_lists(classes, COORDINATES - matches(percent) + 1))
     stars = cut_lineage(_stars(lists))
-    comps = docs.sparkSession.createDataFrame([], "node long, component long")
-    met_pairs: list[DataFrame] = []
-    links: list[DataFrame] = []
     sets = cut_lineage(_sets(docs, classes, _ends(stars)))
+    told = cut_lineage(_confirm(stars, sets, percent, star=True))
+    links = told.where("linked").select("a", "b")
+    comps = components(links)
+    more, sets = _links_of_pairs(docs, classes, _small_pairs(lists, comps), sets, percent)
+    links = links.union(more)
+    comps = components(links)
+    met_pairs: list[DataFrame] = []
     short = MEET_FIRST
-    while not stars.isEmpty():  # a star has fewer members than the one of the round before that it is part of
-        told = cut_lineage(_confirm(stars, sets, percent, star=True))
-        links.append(told.where("linked").select("a", "b"))
-        if len(links) == 1:  # later rounds make few links, which their own stars know
-            comps = components(links[0])
+    while not told.isEmpty():  # a star has fewer members than the one of the round before that it is part of
         met = written(_meetings(cut_lineage(_open_members(told, comps)), percent))
-        met_pairs.append(_pairs_that_met(met.where(F.col("many") <= short), percent))
-        stars = cut_lineage(met.where((F.col("many") > short) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct())
+        met_pairs.append(_pairs_that_met(met.where(F.col("minors") <= short), percent))
+        stars = met.where((F.col("minors") > short) & (F.col("member") != F.col("next_leader"))).select(F.col("next_leader").alias("a"), F.col("member").alias("b")).distinct()
+        told = cut_lineage(_confirm(stars, sets, percent, star=True))
+        links = links.union(told.where("linked").select("a", "b"))
         short = min(short * MEET_GROWTH, MEET_MOST)
-    pairs = cut_lineage(_agree(reduce(DataFrame.union, [_small_pairs(lists, comps), *met_pairs]).distinct(), classes, matches(percent)))
-    more = cut_lineage(_sets(docs, classes, _ends(pairs).join(sets, "node", "left_anti")))
-    links.append(_confirm(pairs, sets.union(more), percent, star=False).where("linked").select("a", "b"))
-    return components(reduce(DataFrame.union, links))
+    if not met_pairs:
+        return comps
+    more, _ = _links_of_pairs(docs, classes, reduce(DataFrame.union, met_pairs).distinct(), sets, percent)
+    return components(links.union(more))
 
 
 def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

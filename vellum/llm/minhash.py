@@ -46,7 +46,7 @@ PERCENT = 80
 MISS = 4e-6
 #: Longest posting list that gives all its pairs, and most minor members of a list of an element that gives theirs: in the first round, from one to the next, and at most.
 SMALL = 16
-MEET_FIRST, MEET_GROWTH, MEET_MOST = 64, 4, 1024
+MEET_FIRST, MEET_GROWTH, MEET_MOST = 256, 4, 1024
 #: 64-bit words of the bit map of a difference; two maps differ in no more bits than their differences do in elements.
 MAP_WORDS = 4
 #: Counters of the sketches of tokens and elements; they only order them, so collisions cost time and never a link.
